@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tesselum_shipped", False):
+        return
+    package, where = Path(__file__).resolve().parents[1], tempfile.mkdtemp(prefix="tesselum-")
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(f"{where}/{package.name}", "zip", package.parent, package.name))
+    sc._tesselum_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder; a lost executor then costs no recomputation of what made it."""
     spark = df.sparkSession

@@ -1,10 +1,15 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from tesselum.llm import quality_rules
+from tesselum.llm import quality_rules, sentence_pieces, sharding, url_filters
 
 QUERIES = {
+    "op3_sharding": sharding.op3_sharding,
+    "op7_url_filters": url_filters.op7_url_filters,
+    "op9_sentence_pieces": sentence_pieces.op9_sentence_pieces,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_url_filters": url_filters.ORACLE,
+}
