@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from tesselum.llm import quality_rules, sentence_pieces, sharding, url_filters
+from tesselum.llm import quality_rules, sentence_pieces, sharding, toxicity, url_filters
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_url_filters": url_filters.op7_url_filters,
     "op9_sentence_pieces": sentence_pieces.op9_sentence_pieces,
     "op10_quality_rules": quality_rules.op10_quality_rules,
