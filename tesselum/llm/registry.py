@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from tesselum.llm import quality_rules, sentence_pieces, sharding, toxicity, url_filters, warc_zip
+from tesselum.llm import quality_rules, sentence_pieces, sharding, simhash, toxicity, url_filters, warc_zip
 
 QUERIES = {
     "op1_warc_zip": warc_zip.op1_warc_zip,
     "op3_sharding": sharding.op3_sharding,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_url_filters": url_filters.op7_url_filters,
+    "op8_simhash": simhash.op8_simhash,
     "op9_sentence_pieces": sentence_pieces.op9_sentence_pieces,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
