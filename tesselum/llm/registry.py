@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from tesselum.llm import quality_rules, sentence_pieces, sharding, simhash, toxicity, url_filters, warc_zip
+from tesselum.llm import decontamination, quality_rules, sentence_pieces, sharding, simhash, toxicity, url_filters, warc_zip
 
 QUERIES = {
     "op1_warc_zip": warc_zip.op1_warc_zip,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_sharding": sharding.op3_sharding,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_url_filters": url_filters.op7_url_filters,
@@ -15,5 +16,6 @@ QUERIES = {
 #: DuckDB SQL of those that SQL can express on whole tables.
 ORACLES: dict[str, str] = {
     "op1_warc_zip": warc_zip.ORACLE,
+    "op2_decontamination": decontamination.ORACLE,
     "op7_url_filters": url_filters.ORACLE,
 }
