@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 from pathlib import Path
@@ -81,3 +82,9 @@ def bind(value: Column, use) -> Column:
 def once(col: Column) -> Column:
     """col, kept by the optimizer from being copied into filters and later projections, where it would be computed again."""
     return F.when(F.monotonically_increasing_id() >= 0, col)
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and checkpoints that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

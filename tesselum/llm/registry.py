@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from tesselum.llm import decontamination, pii, quality_rules, sentence_pieces, sharding, simhash, toxicity, url_filters, warc_zip
+from tesselum.llm import decontamination, pii, quality_rules, repeats, sentence_pieces, sharding, simhash, toxicity, url_filters, warc_zip
 
 QUERIES = {
     "op1_warc_zip": warc_zip.op1_warc_zip,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_sharding": sharding.op3_sharding,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_repeats": repeats.op5_repeats,
     "op6_pii": pii.op6_pii,
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_simhash": simhash.op8_simhash,
