@@ -1,9 +1,9 @@
 """SimHash near-duplicates: a self-join of binary tries under a Hamming budget.
 
 A document's fingerprint has a bit for each of 64 that more than half of its word shingles' hashes set. Distinct
-fingerprints that differ in at most BUDGET bits are linked. Of BUDGET + 1 blocks of bits one must be equal in such a pair, so
-for each block the fingerprints are rotated to begin with it and dealt out by it; in each deal the fingerprints, sorted,
-are a binary trie, and pairs of nodes are walked down together from the nodes of equal first block: a pair of children on
+fingerprints that differ in at most BUDGET bits are linked. Of BUDGET + c blocks of bits c must be equal in such a pair, so
+for each choice of c blocks the fingerprints are permuted to begin with them and dealt out by them; c follows the number of
+fingerprints, so that few share a value by chance. In each deal the fingerprints, sorted, are a binary trie, and pairs of nodes are walked down together from the nodes of equal first blocks: a pair of children on
 unlike branches adds a differing bit, and a pair over the budget is pruned. Small pairs of nodes end in exact
 comparison. A deal yields a spanning forest of its links, never all pairs; components join the forests.
 
@@ -18,17 +18,19 @@ a component; an empty table gives no rows; clashing columns are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselum.llm.common import cut, ship, table
+from tesselum.llm.common import cut, fresh, ship, table
 from tesselum.llm.components import components
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
+STAGE_SHINGLE, STAGE_BUDGET, STAGE_WORDS, STAGE_WIDE = 5, 6, 4, 48
 #: Fingerprints that are compared in one deal, at most half of it from each of two groups.
 GROUP = 20_000
 _PAIRS = 1 << 20  # compared at once
@@ -50,6 +52,22 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(over, bitorder="little").view(np.uint64)[0])
 
 
+def wide_fingerprint(text: str, shingle: int, words: int) -> list[int]:
+    """`words` further fingerprint words (signed), of as many independent hashes of each shingle."""
+    w = text.encode().lower().split()
+    n = max(1, len(w) - shingle + 1)
+    hashes = np.array([xxhash.xxh3_64_intdigest(b" ".join(w[i : i + shingle])) for i in range(n)], np.uint64)
+    out = []
+    for k in range(words):
+        h = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out.append(int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > n, bitorder="little").view(np.int64)[0]))
+    return out
+
+
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """docs, without its text, with the fingerprint as a signed long `fp`."""
     ship(docs.sparkSession)
@@ -65,15 +83,33 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
     return rows.mapInArrow(run, schema + "fp long")
 
 
-def blocks(budget: int) -> list[tuple[int, int]]:
-    """(first bit from the top, width) of budget + 1 blocks of the 64 bits."""
-    edges = [64 * i // (budget + 1) for i in range(budget + 2)]
+def blocks(budget: int, equal: int) -> list[tuple[int, int]]:
+    """(first bit from the top, width) of budget + equal blocks of the 64 bits."""
+    n = budget + equal
+    edges = [64 * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _rotated(fp, shift: int):
-    """The fingerprint with `shift` top bits moved to the bottom, as Spark column."""
-    return fp if not shift else F.shiftleft(fp, shift).bitwiseOR(F.shiftrightunsigned(fp, 64 - shift))
+def spread(n: int, budget: int, crowd: int = 2_000) -> int:
+    """How many blocks a deal takes as equal, so that n random fingerprints come to `crowd` per value of them at most."""
+    equal = 1
+    while equal < 4 and n >> min(equal * (64 // (budget + equal)), 62) > crowd:
+        equal += 1
+    return equal
+
+
+def _block(fp: Column, block: tuple[int, int]) -> Column:
+    a, w = block
+    return F.shiftrightunsigned(fp, 64 - a - w).bitwiseAND((1 << w) - 1)
+
+
+def permuted(fp: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """The fingerprints with their blocks in this order."""
+    out, at = np.zeros(len(fp), np.uint64), 64
+    for a, w in order:
+        at -= w
+        out |= ((fp >> np.uint64(64 - a - w)) & np.uint64((1 << w) - 1)) << np.uint64(at)
+    return out
 
 
 class Forest:
@@ -102,8 +138,11 @@ def _expand(la, na, lb, nb):
     return la[owner] + k // nb[owner], lb[owner] + k % nb[owner]
 
 
-def trie_join(keys: np.ndarray, first: int, budget: int, forest: Forest) -> None:
-    """Link in forest all pairs of the sorted distinct uint64 keys that agree in their first bits and differ in at most budget bits."""
+def trie_join(keys: np.ndarray, first: int, budget: int, forest: Forest, wide: np.ndarray | None = None, wide_budget: int = 0) -> None:
+    """Link in forest all pairs of the sorted uint64 keys that agree in their first bits and differ in at most budget bits.
+
+    wide: a row of further fingerprint words per key, of which linked pairs differ in at most wide_budget bits.
+    """
     n = len(keys)
     if n < 2:
         return
@@ -125,6 +164,9 @@ def trie_join(keys: np.ndarray, first: int, budget: int, forest: Forest) -> None
                     ok = (i < j) & (forest.root[i] != forest.root[j])
                     i, j = i[ok], j[ok]
                     ok = np.bitwise_count(keys[i] ^ keys[j]) <= budget
+                    if wide is not None:
+                        i, j = i[ok], j[ok]
+                        ok = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= wide_budget
                     forest.link(i[ok], j[ok])
         go = ~small
         if not go.any():
@@ -157,66 +199,91 @@ def trie_join(keys: np.ndarray, first: int, budget: int, forest: Forest) -> None
             stack.append((depth + 1, *(x[keep] for x in new)))
 
 
-def links(fps: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataFrame:
-    """(u, v): a spanning forest, per deal, of the pairs of distinct fingerprints (column fp) within the budget."""
-    spark = fps.sparkSession
-    ship(spark)
-    fp = F.col("fp")
-    parts = F.array(*[F.struct(F.lit(i).alias("block"), _rotated(fp, a).alias("key")) for i, (a, _) in enumerate(blocks(budget))])
-    rows = fps.select(F.explode(parts).alias("p")).select("p.block", "p.key")
-    widths = F.array(*[F.lit(w) for _, w in blocks(budget)])
-    prefix = F.expr("shiftrightunsigned(key, 64 - w)")
-    rows = rows.withColumn("w", F.get(widths, F.col("block"))).withColumn("prefix", prefix).drop("w")
-    # block values that more than `group` fingerprints share: few, as each holds that many
+def _deal(batches: Iterator[pa.RecordBatch], deals: list, budget: int, wide_budget: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by deal and prefix to the forests of their links; whole prefixes are taken at once."""
+
+    def done(rows: pa.Table) -> pa.RecordBatch:
+        names = ("deal", "a", "b", "fp", "node")
+        deal, a, b, fp, node = (rows.column(k).to_numpy() for k in names)
+        fp = fp.view(np.uint64)
+        wide = None
+        if wide_budget >= 0:
+            wide = rows.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(fp), -1)
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        kinds, which = np.unique(np.stack([deal, a, b], axis=1), axis=0, return_inverse=True)
+        for k, (d, _, _) in enumerate(kinds):
+            at = np.flatnonzero(which.ravel() == k)
+            order, first = deals[d]
+            keys = permuted(fp[at], order)
+            by = np.argsort(keys, kind="stable")
+            at, keys = at[by], keys[by]
+            forest = Forest(len(keys))
+            trie_join(keys, first, budget, forest, None if wide is None else wide[at], wide_budget)
+            far = np.flatnonzero(forest.root != np.arange(len(keys)))
+            u.append(node[at[far]])
+            v.append(node[at[forest.root[far]]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+
+    wait, size = [], 0
+    for batch in batches:
+        wait.append(batch)
+        size += batch.num_rows
+        if size >= 200_000:
+            rows = pa.Table.from_batches(wait)
+            ends = np.stack([rows.column(k).to_numpy() for k in ("deal", "prefix", "a", "b")])
+            unlike = np.flatnonzero((ends != ends[:, -1:]).any(axis=0))
+            if len(unlike):
+                edge = int(unlike[-1]) + 1
+                yield done(rows.slice(0, edge))
+                wait, size = rows.slice(edge).to_batches(), rows.num_rows - edge
+    if size:
+        yield done(pa.Table.from_batches(wait))
+
+
+def links(nodes: DataFrame, budget: int = BUDGET, *, n: int | None = None, wide_budget: int = -1, group: int = GROUP) -> DataFrame:
+    """(u, v): per deal, a spanning forest of the pairs of nodes whose fingerprints are within the budget.
+
+    nodes: node and fp (longs) and, where wide_budget isn't negative, wide (array<long> of one length for all). n: how many there are.
+    """
+    ship(nodes.sparkSession)
+    n = nodes.count() if n is None else n
+    equal = spread(n, budget)
+    parts = blocks(budget, equal)
+    chosen = list(combinations(range(len(parts)), equal))
+    # per deal: the order of the blocks, and the bits of those that are taken as equal
+    deals = [([parts[i] for i in c] + [p for i, p in enumerate(parts) if i not in c], sum(parts[i][1] for i in c)) for c in chosen]
+
+    def prefix(c: tuple[int, ...]) -> Column:
+        out = F.lit(0).cast("long")
+        for i in c:
+            out = F.shiftleft(out, parts[i][1]).bitwiseOR(_block(F.col("fp"), parts[i]))
+        return out
+
+    wide = ["wide"] if wide_budget >= 0 else []
+    deal = F.explode(F.array(*[F.struct(F.lit(k).alias("deal"), prefix(c).alias("prefix")) for k, c in enumerate(chosen)])).alias("d")
+    rows = nodes.select("node", "fp", *wide, deal).select("d.deal", "d.prefix", "node", "fp", *wide)
+    # values that more than `group` nodes share: few, as each holds that many
     half = max(1, group // 2)
-    hot = rows.groupBy("block", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group)
-    hot = cut(hot.select("block", "prefix", F.ceil(F.col("n") / half).cast("int").alias("groups")))
+    hot = rows.groupBy("deal", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group)
+    hot = cut(hot.select("deal", "prefix", F.ceil(F.col("n") / half).cast("int").alias("groups")))
     if hot.isEmpty():
-        dealt = rows.select("block", "prefix", F.lit(-1).alias("a"), F.lit(-1).alias("b"), "key")
+        dealt = rows.withColumns({"a": F.lit(-1), "b": F.lit(-1)})
     else:
-        rows = rows.join(hot, ["block", "prefix"], "left")
-        own = F.pmod(F.xxhash64("key"), F.col("groups")).cast("int")
-        pair = F.when(F.col("groups").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("groups") - 1))
-        rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(pair))
-        one = F.col("other") < 0
-        dealt = rows.select("block", "prefix", F.when(one, -1).otherwise(F.least("own", "other")).alias("a"), F.when(one, -1).otherwise(F.greatest("own", "other")).alias("b"), "key")
-    starts = [(a, w) for a, w in blocks(budget)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-        out_u, out_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if got:
-            block, prefix, a, b, key = (np.concatenate(x) for x in zip(*got, strict=True))
-            key = key.view(np.uint64)
-            for i, (shift, width) in enumerate(starts):
-                plain = (block == i) & (a < 0)
-                sets = [key[plain]]
-                mixed = np.flatnonzero((block == i) & (a >= 0))
-                if len(mixed):
-                    ids = np.stack([prefix[mixed], a[mixed], b[mixed]], axis=1)
-                    _, which = np.unique(ids, axis=0, return_inverse=True)
-                    order = np.argsort(which.ravel(), kind="stable")
-                    sets += np.split(key[mixed][order], np.flatnonzero(np.diff(which.ravel()[order])) + 1)
-                for keys in sets:
-                    keys = np.unique(keys)
-                    forest = Forest(len(keys))
-                    trie_join(keys, width, budget, forest)
-                    back = keys if not shift else (keys >> np.uint64(shift)) | (keys << np.uint64(64 - shift))
-                    far = np.flatnonzero(forest.root != np.arange(len(keys)))
-                    out_u.append(back[far].view(np.int64))
-                    out_v.append(back[forest.root[far]].view(np.int64))
-        u, v = np.concatenate(out_u), np.concatenate(out_v)
-        for start in range(0, max(1, len(u)), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(u[start : start + 100_000]), pa.array(v[start : start + 100_000])], ["u", "v"])
-
-    return dealt.repartition("block", "prefix", "a", "b").mapInArrow(run, "u long, v long")
+        rows = rows.join(hot, ["deal", "prefix"], "left")
+        own = F.coalesce(F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"), F.lit(-1))
+        other = F.when(F.col("groups").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("groups") - 1))
+        rows = rows.withColumn("own", own).withColumn("other", F.explode(other))
+        dealt = rows.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
+    dealt = dealt.select("deal", "prefix", "a", "b", "node", "fp", *wide)
+    by = ["deal", "prefix", "a", "b"]
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda batches: _deal(batches, deals, budget, wide_budget), "u long, v long")
 
 
 def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """docs, without its text, with fp (signed long), fingerprint (hex) and component_id."""
     rows = cut(fingerprints(docs, text, shingle))
     least = cut(rows.groupBy("fp").agg(F.min(doc_id).alias("low")))
-    roots = components(links(least.select("fp"), budget))
+    roots = components(links(least.select(F.col("fp").alias("node"), "fp"), budget))
     of = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     of = cut(of)
     tops = of.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -225,6 +292,46 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingl
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 
+def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id.
+
+    Texts are linked if their shingles of STAGE_SHINGLE words have a similarity of 0.8 or more, as fingerprints tell it. Those of
+    such shingles differ in a sixth of their bits at that similarity, beyond what a trie join can prune, while those of single
+    words differ in few; so the trie join runs on the latter, within STAGE_BUDGET bits, and of the pairs that it meets those are
+    linked whose STAGE_WORDS * 64 bits over shingles differ in at most STAGE_WIDE.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() or "" for t in b.column(2)]
+            fp = np.array([fingerprint(t, 1) for t in texts], np.uint64).view(np.int64)
+            wide = pa.array([wide_fingerprint(t, STAGE_SHINGLE, STAGE_WORDS) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), wide], ["doc", "mark", "fp", "wide"])
+
+    made = rows.select("doc", F.xxhash64("_text").alias("mark"), "_text").mapInArrow(run, "doc long, mark long, fp long, wide array<long>")
+    made = cut(made)
+    # a node per distinct text: its smallest doc_id, or a negative number where it has none
+    least = made.groupBy("mark").agg(F.min("doc").alias("low"), F.first("fp").alias("fp"), F.first("wide").alias("wide"))
+    least = cut(least.withColumn("node", F.coalesce("low", F.col("mark").bitwiseOR(-(1 << 63)))))
+    roots = components(links(least.select("node", "fp", "wide"), STAGE_BUDGET, wide_budget=STAGE_WIDE))
+    of = cut(least.join(roots, "node", "left").select("node", "mark", "low", F.coalesce("root", "node").alias("root")))
+    # the smallest doc_id stands for the component; one without any, its first text
+    best = of.groupBy("root").agg(F.coalesce(F.min("low"), F.min("node")).alias("node"))
+    stay = of.join(best.select("node"), "node", "left_semi").select("mark", F.col("low").alias("stay"))
+    counts = made.groupBy("doc", "mark").agg(F.count(F.lit(1)).alias("times"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    stay = cut(counts.join(stay, "mark").where(same("doc", "stay")).select("doc", F.col("mark").alias("m"), "times"))
+    mark, times = fresh(docs, "_mark", "_times")
+    stay = stay.toDF("_stay", "_stay_mark", times)
+    out = docs.withColumn(mark, F.xxhash64(F.col(text).cast("string")))
+    out = out.join(stay, F.col(doc_id).cast("long").eqNullSafe(F.col("_stay")) & (F.col(mark) == F.col("_stay_mark")))
+    once_each = out.where(F.col(times) > 1).dropDuplicates([doc_id, mark])
+    return out.where(F.col(times) == 1).unionByName(once_each).select(*docs.columns)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return group(docs).select("doc_id", "fingerprint", "component_id")
