@@ -202,19 +202,22 @@ def _kept(df: DataFrame, text: str, made: tuple[str, ...]) -> tuple[DataFrame, s
     return rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", "
 
 
-def encode(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """df with ids array<int> (the end id last) and spans array<struct<start, end>>: bytes of the text."""
+def encode(df: DataFrame, text: str = "text", model: str = MODEL, *, spans: bool = True) -> DataFrame:
+    """df with ids array<int> (the end id last) and spans array<struct<start, end>>: bytes of the text. spans: whether to return them."""
     rows, schema = _kept(df, text, ("ids", "spans"))
 
     def make(texts: list[str]) -> dict:
         c = codec(_find(model))
         done = [c.encode(t) for t in texts]
-        offsets = pa.array(np.cumsum([0, *[len(i) for i, _ in done]]), pa.int32())
-        spans = np.concatenate([s for _, s in done]) if done else np.zeros((0, 2), int)
-        pairs = pa.StructArray.from_arrays([pa.array(spans[:, 0], pa.int64()), pa.array(spans[:, 1], pa.int64())], ["start", "end"])
-        return {"ids": pa.array([i for i, _ in done], pa.list_(pa.int32())), "spans": pa.ListArray.from_arrays(offsets, pairs)}
-
-    return _batches(rows, make, schema + "ids array<int>, spans array<struct<start: bigint, end: bigint>>")
+        out = {"ids": pa.array([i for i, _ in done], pa.list_(pa.int32()))}
+        if spans:
+            offsets = pa.array(np.cumsum([0, *[len(i) for i, _ in done]]), pa.int32())
+            flat = np.concatenate([s for _, s in done]) if done else np.zeros((0, 2), int)
+            pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0], pa.int64()), pa.array(flat[:, 1], pa.int64())], ["start", "end"])
+            out["spans"] = pa.ListArray.from_arrays(offsets, pairs)
+        return out
+
+    return _batches(rows, make, schema + "ids array<int>" + ", spans array<struct<start: bigint, end: bigint>>" * spans)
 
 
 def decode(df: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
