@@ -63,7 +63,7 @@ def directory(f, size: int) -> list[Member]:
     tail = _read(f, max(0, size - 65_557), min(size, 65_557))
     base = size - len(tail)
     at = tail.rfind(_EOCD)
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(_EOCD, 0, at)  # the same bytes inside the comment
     if at < 0:
         raise ValueError("no end of central directory: not a ZIP file, or cut short")
