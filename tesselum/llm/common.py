@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselum.functions.lineage import cut, shared_dir, ship
+
+__all__ = ["LOWER", "UPPER", "WHITE", "bind", "cut", "free", "fresh", "lower_ascii", "once", "shared_dir", "ship", "table", "words"]
+
 #: The ASCII white space that separates words: \x20 and \x09 to \x0D.
 WHITE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,39 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (local mode)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="tesselum-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        sc.setCheckpointDir(found)
-    return found
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tesselum_shipped", False):
-        return
-    package, where = Path(__file__).resolve().parents[1], tempfile.mkdtemp(prefix="tesselum-")
-    atexit.register(shutil.rmtree, where, ignore_errors=True)
-    sc.addPyFile(shutil.make_archive(f"{where}/{package.name}", "zip", package.parent, package.name))
-    sc._tesselum_shipped = True
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder; a lost executor then costs no recomputation of what made it."""
-    spark = df.sparkSession
-    where = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
-
-
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
