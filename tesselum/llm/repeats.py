@@ -35,7 +35,7 @@ from tesselum.llm.common import cut, free, shared_dir, ship, table
 
 MIN, K = 200, 48
 #: Distinct contexts of a gram that one suffix array takes.
-GROUP = 2_000
+GROUP = 5_000
 _CHUNK = 1 << 20
 _LOW = np.uint64((1 << 21) - 1)
 _rng = np.random.default_rng(20_240_611)
@@ -196,14 +196,14 @@ def _flat(part: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nda
     return owner, first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
 
 
-def united(member: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int = MIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ranges of each member without those that lie within another of its ranges."""
-    by = np.lexsort((-hi, lo, member))
+def reach(member: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each member's least lo and greatest hi; as all its ranges hold the anchor, that is their union."""
+    by = np.argsort(member, kind="stable")
     member, lo, hi = member[by], lo[by], hi[by]
-    new = np.concatenate([[True], member[1:] != member[:-1]])[: len(member)]
-    top = hi + 4 * least * np.cumsum(new)
-    keep = new | (np.append(0, np.maximum.accumulate(top)[:-1]) < top) if len(top) else new
-    return member[keep], lo[keep], hi[keep]
+    start = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]])[: len(member)])
+    if not len(start):
+        return member, lo, hi
+    return member[start], np.minimum.reduceat(lo, start), np.maximum.reduceat(hi, start)
 
 
 # ------------------------------------------------------------------ Spark
@@ -259,7 +259,7 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = rows.column("gram").to_numpy()
         number = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]]))
         _, *found = maximal_repeats(number, rows.column("before").to_pylist(), rows.column("bytes").to_pylist())
-        member, lo, hi = united(*found)
+        member, lo, hi = reach(*found)
         return pa.RecordBatch.from_arrays([pa.array(gram[member]), pa.array(rows.column("ctx").to_numpy()[member]), pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64))], ["gram", "ctx", "lo", "hi"])
 
     for b in batches:
@@ -344,6 +344,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = rows.join(per_doc, _same("doc", "m")).select("text", "at").mapInArrow(_context_rows, "gram long, ctx long, hot boolean, before int, bytes binary")
     if hot:
         parts = cut(parts)
+        chosen = per_doc = several = None
+        free(spark)  # the texts that were dealt out
     cold = parts.where(~F.col("hot")).select("gram", "ctx", "before", "bytes")
     covered = cold.repartition("gram").sortWithinPartitions("gram", "ctx").mapInArrow(_suffix_rows, "gram long, ctx long, lo long, hi long")
     if hot:
@@ -351,7 +353,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         again = cut(windows.groupBy("gram", "lo", "w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
         covered = covered.union(windows.join(again, ["gram", "lo", "w1", "w2"], "left_semi").select("gram", "ctx", "lo", (F.col("lo") + MIN).alias("hi")))
     whole = contexts.where("n > 1").select("gram", "ctx", F.lit(K - MIN).cast("long").alias("lo"), F.lit(MIN).cast("long").alias("hi"))
-    covered = cut(covered.union(whole).distinct())
+    # all ranges of a context hold its anchor, so their union is one range
+    covered = cut(covered.union(whole).groupBy("gram", "ctx").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    parts = cold = windows = again = chosen = per_doc = several = contexts = whole = None
     free(spark)
     ranges = occurring.join(covered, ["gram", "ctx"]).select("doc", "mark", (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
     ranges = ranges.groupBy("doc", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")).withColumnRenamed("mark", "m")
