@@ -61,7 +61,8 @@ def island(df: DataFrame, size: int = 100, *, stroma: bool = False, flag: int =
     flips = roots.join(touch, "id", "left").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t")).where((F.col("n") < size) & F.col("t").isNotNull())
     flip = roots.join(flips.select("root"), "root", "left_semi").select("id", F.lit(True).alias("_flip"))
     new = bits.clear_bits(_c(), flag) if stroma else bits.set_bits(_c(), flag)
-    return df.join(flip, "id", "left").withColumn("cflag", F.when(F.col("_flip"), new).otherwise(_c())).select(*df.columns)
+    # what follows reads the cells many times, and this much lineage is costly to plan
+    return cut(df.join(flip, "id", "left").withColumn("cflag", F.when(F.col("_flip"), new).otherwise(_c())).select(*df.columns))
 
 
 def delaunay(df: DataFrame, limit: float) -> DataFrame:

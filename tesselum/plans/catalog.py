@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesselum import model
 from tesselum.functions import geometry
+from tesselum.functions.lineage import cut
 from tesselum.operators import aggregates as agg
 from tesselum.operators import cohort, graph, random_models, regions, rows, spatial, statistics, topics
 from tesselum.plans.adapter import CELLS, CLUMPS, DATA, MARKERS, cells, clumps
@@ -491,9 +492,9 @@ def _(spark, sf_dir):
     return _rounded(spatial.morans_i(cells(spark, sf_dir), "m_value", 6))
 
 
-@_query("knn_graph_column", f"{_C}, n AS ({_KNN.format(k=4)}) SELECT id, list(n_id ORDER BY rank) AS knn FROM n GROUP BY id")
+@_query("knn_graph_column", f"{_C}, n AS ({_KNN.format(k=4)}) SELECT id, string_agg(n_id, ',' ORDER BY rank) AS knn FROM n GROUP BY id")
 def _(spark, sf_dir):
-    return graph.neighbour_lists(cells(spark, sf_dir), 4).select("id", F.expr("transform(knn, v -> v.id)").alias("knn"))
+    return graph.neighbour_lists(cells(spark, sf_dir), 4).select("id", F.array_join(F.expr("transform(knn, v -> cast(v.id as string))"), ",").alias("knn"))
 
 
 # ------------------------------------------------------------------ clusters and graphs
@@ -593,9 +594,9 @@ def _(spark, sf_dir):
     c = rows.magnify(cells(spark, sf_dir), 1.0)
     c = rows.phenotype(c, DATA, GATES)
     c = rows.mark_cells(c, [rows.Unit(pand=3)])
-    c = spatial.annotate(c, model.TUMOR, 25, 0.33, 10_000)
+    c = cut(spatial.annotate(c, model.TUMOR, 25, 0.33, 10_000))
     c = regions.flag_regions(rows.flip(c, 1000), _rois(spark), model.CFLAG_BITS["TumorManual"])
-    c = spatial.distance_to_marked(rows.mark_cells(c, [rows.Unit(cand=model.TUMOR)]), "tumor")
+    c = cut(spatial.distance_to_marked(rows.mark_cells(c, [rows.Unit(cand=model.TUMOR)]), "tumor"))
     c = spatial.radial_density(c, RINGS[:2])
     return graph.delaunay(c, 20)
 
