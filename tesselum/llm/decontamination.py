@@ -112,7 +112,8 @@ def clean(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "containment")
 
 
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
@@ -123,6 +124,5 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {
 ds AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM d), bs AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM b),
 n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
 c AS (SELECT doc_id, item_id, count(*) AS c FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
-SELECT doc_id, count(*) AS n_items, list_sort(list(item_id)) AS item_ids, max(c / n) AS max_containment
-FROM c JOIN n USING (item_id) WHERE c / n >= 0.8 GROUP BY doc_id
+SELECT doc_id, item_id, c / n AS containment FROM c JOIN n USING (item_id) WHERE c / n >= 0.8
 """

@@ -54,6 +54,16 @@ def test_shuffled_path_gives_the_same(spark, monkeypatch, sf):
     assert sorted(map(str, d.op2_decontamination(spark, sf).collect())) == want
 
 
+def test_query_matches_sql(spark):
+    import duckdb
+
+    sf, c = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = sorted(c.execute(d.ORACLE).fetchall())
+    assert want and sorted(map(tuple, d.op2_decontamination(spark, sf).collect())) == want
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
