@@ -17,6 +17,7 @@ a component; an empty table gives no rows; clashing columns are replaced.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,13 +31,22 @@ from tesselum.llm.common import cut, fresh, ship, table
 from tesselum.operators.components import components
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
-STAGE_SHINGLE, STAGE_BUDGET, STAGE_WORDS, STAGE_WIDE = 5, 6, 4, 48
+STAGE_SHINGLE, STAGE_BUDGET, STAGE_WORDS, STAGE_WIDE = 5, 7, 8, 88
 #: Fingerprints that are compared in one deal, at most half of it from each of two groups.
 GROUP = 20_000
 _PAIRS = 1 << 20  # compared at once
 _SMALL = 64  # pairs of keys in a pair of nodes that are compared at once
 
 
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """The eight bytes of the bits that more than half of the hashes set."""
+    total = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 1 << 16):
+        part = hashes[start : start + (1 << 16)]
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes), bitorder="little")
+
+
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """The unsigned fingerprint of a whole text."""
     w = text.encode().lower().split()  # of bytes, lower() and split() know ASCII only
@@ -47,9 +57,21 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     k, h = min(shingle, len(w)), xxhash.xxh64_intdigest
     hashes = np.array([h(data[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist())], np.uint64)  # noqa: B905
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    over = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
-    return int(np.packbits(over, bitorder="little").view(np.uint64)[0])
+    return int(_majority(hashes).view(np.uint64)[0])
+
+
+def word_fingerprint(text: str) -> int:
+    """The unsigned fingerprint of the distinct words, each with the weight 1 + ln(times)."""
+    times = Counter(text.encode().lower().split())
+    if not times:
+        return 0
+    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in times], np.uint64)
+    weight = 1 + np.log(np.array(list(times.values()), float))
+    total = np.zeros(64)
+    for start in range(0, len(hashes), 1 << 16):
+        part = slice(start, start + (1 << 16))
+        total += weight[part] @ np.unpackbits(hashes[part].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * total > weight.sum(), bitorder="little").view(np.uint64)[0])
 
 
 def wide_fingerprint(text: str, shingle: int, words: int) -> list[int]:
@@ -63,8 +85,7 @@ def wide_fingerprint(text: str, shingle: int, words: int) -> list[int]:
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        out.append(int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > n, bitorder="little").view(np.int64)[0]))
+        out.append(int(_majority(h).view(np.int64)[0]))
     return out
 
 
@@ -297,7 +318,7 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Texts are linked if their shingles of STAGE_SHINGLE words have a similarity of 0.8 or more, as fingerprints tell it. Those of
     such shingles differ in a sixth of their bits at that similarity, beyond what a trie join can prune, while those of single
-    words differ in few; so the trie join runs on the latter, within STAGE_BUDGET bits, and of the pairs that it meets those are
+    words, dampened so that common words don't decide, differ in few; so the trie join runs on the latter, within STAGE_BUDGET bits, and of the pairs that it meets those are
     linked whose STAGE_WORDS * 64 bits over shingles differ in at most STAGE_WIDE.
     """
     spark = docs.sparkSession
@@ -307,7 +328,7 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.as_py() or "" for t in b.column(2)]
-            fp = np.array([fingerprint(t, 1) for t in texts], np.uint64).view(np.int64)
+            fp = np.array([word_fingerprint(t) for t in texts], np.uint64).view(np.int64)
             wide = pa.array([wide_fingerprint(t, STAGE_SHINGLE, STAGE_WORDS) for t in texts], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), wide], ["doc", "mark", "fp", "wide"])
 
