@@ -34,13 +34,13 @@ _TITLES = "|".join(sorted(FEMALE + MALE + NEUTRAL, key=lambda t: -len(t)))
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Types in the order in which they are tried where two could begin at the same place.
 PATTERNS: tuple[tuple[str, str], ...] = (
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
+    ("email", r"[\p{L}0-9][\p{L}0-9._%+-]{0,63}@(?:[\p{L}0-9-]{1,63}\.){1,8}\p{L}{2,24}"),
     ("secret", r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key))[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9_+/.-]{8,512}"),
     ("ip", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("card", r"(?<![0-9+])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("phone", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"),
+    ("phone", r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9]|[.-][0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"),
     ("hex", r"\b(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b"),
     ("name", rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}[\p{{Ll}}'-]{{1,40}}(?: \p{{Lu}}[\p{{Ll}}'-]{{1,40}})?"),
 )
@@ -86,7 +86,8 @@ def _mapped(norm: Column, stream: Column) -> Column:
             F.when(hexadecimal, _pick("0123456789abcdef", b))
             .when(c.rlike("[0-9]"), _pick("0123456789", b))
             .when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", b))
-            .when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b))
+            .when(c.rlike("\\p{Lu}"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b))
+            .when(c.rlike("\\p{L}"), _pick("abcdefghijklmnopqrstuvwxyz", b))
             .otherwise(c)
         )
 
@@ -127,7 +128,7 @@ def _ip(norm: Column, stream: Column) -> Column:
 def _email(norm: Column, stream: Column, key: str) -> Column:
     """Local part and domain labels mapped, the domain by itself, so that addresses at one domain stay so; under a reserved name."""
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
-    labels = F.regexp_replace(F.regexp_replace(domain, r"\.[a-z]+$", ""), r"(^|\.)example$", "")
+    labels = F.regexp_replace(F.regexp_replace(domain, r"\.\p{L}+$", ""), r"(^|\.)example$", "")
     last = F.substring_index(domain, ".", -1)
     end = F.when(last.isin("com", "net", "org"), F.concat(F.lit("example."), last)).otherwise(F.lit("example.com"))
     sub = F.when(labels == "", F.lit("")).otherwise(F.concat(_mapped(labels, _stream(F.lit("domain"), domain, F.lit(0), key)), F.lit(".")))

@@ -13,6 +13,7 @@ ROWS = [
     (6, "Version 2.0, 1.2.3 of 2019-01-01; 12345678 and a b.c@d"),
     (7, "госпожа Иванова; Frau Müller, Herr Müller"),
     (8, "plain text\nwith lines\t and  spaces "),
+    (10, "+1 (743) 555-3824 227.5.221.1 or élève.9@école.example.net; +49 30 7654321 10.1.2.3"),
     (1, "again bob.jones@mail.example.org and Dr. Smith"),
 ]
 
@@ -28,16 +29,16 @@ def _run(spark):
 @pytest.fixture(scope="module")
 def out(spark):
     got = _run(spark)
-    return {i: (t, n) for i, t, n in got[:8]} | {"again": got[8][1:]}
+    return {i: (t, n) for i, t, n in got[:9]} | {"again": got[9][1:]}
 
 
 def test_nothing_private_is_left_and_clean_texts_stay(out):
-    private = "Smith John Bob.Jones BOB.JONES 555-3824 5553824 8.8.8.8 4111 4785380592391139 24be6443 123-45-6789 3704 Иванова Müller".split()
-    for i, _ in ROWS[:8]:
+    private = "Smith John Bob.Jones BOB.JONES 555-3824 5553824 8.8.8.8 4111 4785380592391139 24be6443 123-45-6789 3704 Иванова Müller 227.5.221.1 élève école 7654321 10.1.2.3".split()
+    for i, _ in ROWS[:9]:
         t = out[i][0] or ""
         assert not [p for p in private if p in t]
     for i in (4, 5, 6, 8):
-        assert out[i] == (dict(ROWS[:8])[i], 0) if i != 1 else True
+        assert out[i] == (dict(ROWS[:9])[i], 0) if i != 1 else True
 
 
 def test_coreference_across_spellings_and_texts(out):
@@ -61,6 +62,11 @@ def test_types_formats_scripts_and_genders(out):
     assert re.fullmatch(r"госпожа [А-Я][а-я]+; Frau (\w+), Herr \1", out[7][0])
 
 
+def test_neighbours_dont_run_together(out):
+    t, n = out[10]
+    assert n == 5 and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4} \d+(\.\d+){3} or [a-z]+\.\d@[a-z]+\.example\.net; \+4\d \d\d \d{7} 10(\.\d+){3}", t)
+
+
 def test_same_key_same_surrogates_other_key_others(spark, out):
     assert _run(spark)[0][1] == out[1][0]
     other = x.pseudonymise(_rows(spark), key="another").collect()[0]["text"]
