@@ -23,13 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder; a lost executor then costs no recomputation of what made it."""
+def cut(df: DataFrame, *, forget: bool = False) -> DataFrame:
+    """Materialise df in the shared folder; a lost executor then costs no recomputation of what made it.
+
+    A checkpoint keeps its plan's size estimates and constraints, and in a loop of joins these multiply until planning takes
+    longer than running. forget drops them, for a conversion of each row in the JVM.
+    """
     spark = df.sparkSession
     where = shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if not forget:
+        return out
+    return DataFrame(spark._jsparkSession.createDataFrame(out._jdf.toJavaRDD(), out._jdf.schema()), spark)
 
 
 def ship(spark: SparkSession) -> None:

@@ -32,7 +32,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     now = cut(edges.toDF("u", "v").where(F.col("u") != F.col("v")).distinct())
     mark = None
     for _ in range(rounds):
-        now = cut(_small(cut(_large(now))).where(F.col("u") != F.col("v")).distinct())
+        now = cut(_small(cut(_large(now), forget=True)).where(F.col("u") != F.col("v")).distinct(), forget=True)
         new = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(pmod(xxhash64(v, u), 1048573) as long))")).first()
         if new == mark:
             return now.toDF("node", "root")

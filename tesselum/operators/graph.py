@@ -62,7 +62,7 @@ def island(df: DataFrame, size: int = 100, *, stroma: bool = False, flag: int =
     flip = roots.join(flips.select("root"), "root", "left_semi").select("id", F.lit(True).alias("_flip"))
     new = bits.clear_bits(_c(), flag) if stroma else bits.set_bits(_c(), flag)
     # what follows reads the cells many times, and this much lineage is costly to plan
-    return cut(df.join(flip, "id", "left").withColumn("cflag", F.when(F.col("_flip"), new).otherwise(_c())).select(*df.columns))
+    return cut(df.join(flip, "id", "left").withColumn("cflag", F.when(F.col("_flip"), new).otherwise(_c())).select(*df.columns), forget=True)
 
 
 def delaunay(df: DataFrame, limit: float) -> DataFrame:

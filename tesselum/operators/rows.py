@@ -130,6 +130,15 @@ def flag_to_flag(df: DataFrame, source: str, mask: int, target: str, put: int, *
     return df.withColumn(target, F.when(~cond if negate else cond, new).otherwise(F.col(target)))
 
 
+def copy_flag(df: DataFrame, source: int, target: int) -> DataFrame:
+    """Set the target mask of cflag where the source mask is set in full, and clear it elsewhere."""
+    return df.withColumn("cflag", bits.put_bits(_c(), target, bits.has_all(_c(), source)))
+
+
+def count_flag(df: DataFrame, mask: int) -> DataFrame:
+    return df.agg(F.count_if(bits.has_all(_c(), mask)).alias("n"))
+
+
 def rescale(df: DataFrame, markers: Sequence[str]) -> DataFrame:
     """Marker values become 0 where the marker's phenotype bit is off."""
     return df.withColumns({m: F.when(bits.bit(_p(), i) == 1, F.col(m)).otherwise(F.lit(0).cast(df.schema[m].dataType)) for i, m in enumerate(markers)})

@@ -78,7 +78,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, keep: Sequence[str]
         ranked = cut(ranked)
         full = ranked.where((F.col("rank") == k) & (F.col("d2") <= width * width)).select("id")
         done.append(ranked.join(full, "id", "left_semi"))
-        rest = cut(rest.join(full, "id", "left_anti"))
+        rest = cut(rest.join(full, "id", "left_anti"), forget=True)
         if rest.isEmpty():
             return reduce(DataFrame.unionByName, done)
         width *= 2

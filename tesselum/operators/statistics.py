@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselum.functions.lineage import cut
+from tesselum.functions.lineage import cut, ship
 
 
 def t_tests(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -56,3 +58,58 @@ def kaplan_meier(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
 def merge_clinical(cells: DataFrame, clinical: DataFrame, on: str) -> DataFrame:
     """Left equi-join of per-sample rows with a clinical table."""
     return cells.join(clinical, on, "left")
+
+
+def quantile_groups(df: DataFrame, value: str, at: float = 0.5, name: str = "group") -> DataFrame:
+    """df with low or high: below, or at and above, the exact quantile of the value (ranks of distinct values, interpolated)."""
+    cut_ = df.agg(F.percentile(F.col(value).cast("double"), at).alias("_cut"))
+    # one row
+    return df.join(F.broadcast(cut_)).withColumn(name, F.when(F.col(value) < F.col("_cut"), "low").otherwise("high")).drop("_cut")
+
+
+def mantel(a: np.ndarray, b: np.ndarray, permutations: int = 999, seed: int = 0) -> tuple[float, float]:
+    """Correlation of two square symmetric matrices above the diagonal, and its one-sided p by permuting one's rows and columns."""
+    up = np.triu_indices(len(a), 1)
+    r = float(np.corrcoef(a[up], b[up])[0, 1])
+    draw = np.random.default_rng(seed)
+    more = sum(np.corrcoef(a[up], b[np.ix_(p, p)][up])[0, 1] >= r - 1e-12 for p in (draw.permutation(len(a)) for _ in range(permutations)))
+    return r, (more + 1) / (permutations + 1)
+
+
+def mantel_pairs(df: DataFrame, group: str, x: str, y: str, value: str, permutations: int = 999) -> DataFrame:
+    """(a, b, r, p) of each two groups (a < b) of long-form matrices (group, x, y, value), a task per pair; matrices are of columns, not rows."""
+    ship(df.sparkSession)
+    one = df.groupBy(F.col(group).alias("g")).agg(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col(value).cast("double").alias("v"))).alias("m"))
+    pairs = one.select(F.col("g").alias("a"), F.col("m").alias("m_a")).join(one.select(F.col("g").alias("b"), F.col("m").alias("m_b")), F.col("a") < F.col("b"))
+
+    def run(batches):
+        for p in batches:
+            out = []
+            for ma, mb in zip(p["m_a"], p["m_b"], strict=True):
+                names = sorted({c["x"] for c in [*ma, *mb]} | {c["y"] for c in [*ma, *mb]})
+                at = {n: i for i, n in enumerate(names)}
+                full = []
+                for m in (ma, mb):
+                    k = np.zeros((len(names), len(names)))
+                    for c in m:
+                        k[at[c["x"]], at[c["y"]]] = k[at[c["y"]], at[c["x"]]] = c["v"]
+                    full.append(k)
+                out.append(mantel(*full, permutations))
+            yield pd.DataFrame({"a": p["a"], "b": p["b"], "r": [o[0] for o in out], "p": [o[1] for o in out]})
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.repartition("a", "b").mapInPandas(run, f"a {kind}, b {kind}, r double, p double")
+
+
+def even_split(values: list[float]) -> tuple[list[int], list[int]]:
+    """Indices of two parts whose sums are as near as can be, by subset sums of whole numbers."""
+    whole = [round(v) for v in values]
+    if any(v < 0 for v in whole):
+        raise ValueError("values must not be negative")
+    reach: dict[int, list[int]] = {0: []}
+    for i, v in enumerate(whole):
+        for s, taken in list(reach.items()):
+            reach.setdefault(s + v, [*taken, i])
+    best = min(reach, key=lambda s: (abs(sum(whole) - 2 * s), s))
+    one = reach[best]
+    return one, [i for i in range(len(values)) if i not in one]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tesselum import model
 from tesselum.functions import geometry
-from tesselum.functions.lineage import cut
+from tesselum.functions.lineage import cut, shared_dir
 from tesselum.operators import aggregates as agg
 from tesselum.operators import cohort, graph, random_models, regions, rows, spatial, statistics, topics
 from tesselum.plans.adapter import CELLS, CLUMPS, DATA, MARKERS, cells, clumps
+from tesselum.sources import cell_files, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -352,6 +354,50 @@ def _(spark, sf_dir):
     return _rounded(statistics.kaplan_meier(o, "t", "e", "g"))
 
 
+@_query("median_groups", f"{_C}, m AS (SELECT median(m_value) AS k FROM c) SELECT id, CASE WHEN m_value < k THEN 'low' ELSE 'high' END AS \"group\" FROM c, m")
+def _(spark, sf_dir):
+    return statistics.quantile_groups(cells(spark, sf_dir), "m_value").select("id", "group")
+
+
+@_query("mantel_pairs")
+def _(spark, sf_dir):
+    c = cells(spark, sf_dir)
+    parts = [agg.jaccard(c.where(F.col("sample_id") == s), MARKERS).withColumn("sample", F.lit(s)) for s in range(3)]
+    return statistics.mantel_pairs(parts[0].union(parts[1]).union(parts[2]), "sample", "a", "b", "value", 199)
+
+
+_FMT = "printf('%.2f', CASE WHEN {0} < 0 THEN ceil({0} * 100) ELSE floor({0} * 100) END / 100)"
+
+
+@_query("view_csv", f"{_C} SELECT concat_ws(',', sample_id, cell_id, cflag, pflag, printf('%.2f', round(x, 2)), printf('%.2f', round(y, 2)), {_FMT.format('m_value')}, {_FMT.format('m_k')}) AS line FROM c")
+def _(spark, sf_dir):
+    return views.view(cells(spark, sf_dir), header())
+
+
+@_query("view_crevasse", f"{_C} SELECT concat_ws(',', cell_id, printf('%.2f', x), printf('%.2f', y), {_FMT.format('m_value')}, {_FMT.format('m_k')}) AS line FROM c")
+def _(spark, sf_dir):
+    return views.view(cells(spark, sf_dir), header(), style="crevasse")
+
+
+@_query("copy_flag", f"{_C} SELECT id, CASE WHEN (cflag & 1) = 1 THEN cflag | 8 ELSE cflag & ~CAST(8 AS BIGINT) END AS cflag FROM c")
+def _(spark, sf_dir):
+    return rows.copy_flag(cells(spark, sf_dir), model.TUMOR, model.TUMOR_MANUAL).select("id", "cflag")
+
+
+@_query("count_flag", f"{_C} SELECT count(*) FILTER ((cflag & 3) = 3) AS n FROM c")
+def _(spark, sf_dir):
+    return rows.count_flag(cells(spark, sf_dir), 3)
+
+
+@_query("trips_through_files", f"{_C} SELECT id, x, y, cflag, pflag, m_value, m_k FROM c WHERE sample_id = 2")
+def _(spark, sf_dir):
+    """A sample written as a blocked binary cell file and read back; x and y are whole numbers, so 32 bits hold them."""
+    where = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}.byf"
+    cell_files.write(cells(spark, sf_dir).where("sample_id = 2").orderBy("id"), header(), where)
+    back = cell_files.read(spark, where)[0]
+    return back.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "cflag", "pflag", "m_value", "m_k")
+
+
 # ------------------------------------------------------------------ regions
 
 

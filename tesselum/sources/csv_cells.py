@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,10 +50,20 @@ def _number(c: str) -> Column:
     return F.coalesce(F.trim(F.col(f"`{c}`")).try_cast("float"), F.lit(0).cast("float"))
 
 
-def read(spark: SparkSession, path: str, *, markers: Sequence[str], microns: float, unit: str, x: str = "X", y: str = "Y", ignore: Sequence[str] = (), sample: int = 0) -> tuple[DataFrame, model.Header]:
+def sample_number(path: str) -> int:
+    """The digits after LSP in a file's name."""
+    found = re.search(r"LSP([0-9]+)", path.rsplit("/", 1)[-1])
+    if not found:
+        raise ValueError(f"{path} names no sample")
+    return int(found[1])
+
+
+def read(spark: SparkSession, path: str, *, markers: Sequence[str], microns: float, unit: str, x: str = "X", y: str = "Y", ignore: Sequence[str] = (), sample: int | None = 0) -> tuple[DataFrame, model.Header]:
     """The cells of a CSV file and their header; a row with another number of fields than the header fails when it is read."""
     if microns <= 0 or unit not in ("micron", "pixel"):
         raise ValueError("microns must be above 0 and unit micron or pixel")
+    if sample is None:
+        sample = sample_number(path)
     first = spark.read.text(path).where(F.col("value").rlike("^[A-Za-z\"]")).first()
     if first is None:
         raise ValueError(f"{path} has no header line")
