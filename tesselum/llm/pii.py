@@ -233,7 +233,7 @@ def redraws(found: DataFrame, key: str = KEY) -> DataFrame:
         again = cut(clash.union(drawn.join(known, ["g", "made"], "left_semi").select("kind", "norm")).distinct())
         if again.isEmpty():
             return now.where("attempt > 0")
-        now = cut(now.join(again.withColumn("redo", F.lit(1)), ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("redo", F.lit(0))).alias("attempt")))
+        now = cut(now.join(again.withColumn("redo", F.lit(1)), ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("redo", F.lit(0))).alias("attempt")), forget=True)
     raise RuntimeError(f"surrogates still collide after {ATTEMPTS} draws")
 
 

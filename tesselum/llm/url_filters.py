@@ -104,7 +104,7 @@ def cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
             wrong = universe.where(contains(F.col("key"), level)).distinct().join(listed, "key", "left_anti")
         else:
             wrong = other.where(contains(F.col("key"), level))
-        wrong = cut(wrong)
+        wrong = cut(wrong, forget=True)
         now, other, n, rate = wrong, now, wrong.count(), 0.5 if len(levels) > 1 else 0.05
     return levels
 
