@@ -115,10 +115,6 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_s")
 
 
-def _foil(pos: float, neg: float, p: float, n: float) -> float:
-    return p * (np.log2(p / (p + n)) - np.log2(pos / (pos + neg))) if p else -np.inf
-
-
 def _grow(data: dict[str, np.ndarray], bad: np.ndarray, most: int) -> Rule:
     on, rule = np.ones(len(bad), bool), []
     while len(rule) < most and (~bad[on]).any():
@@ -171,9 +167,8 @@ def learn(data: dict[str, np.ndarray], bad: np.ndarray, *, max_rules: int = 12,
         for k in range(len(rule), 0, -1):
             p, n = _counts(rule[:k], *pick(h))
             worth.append(((p - n) / (p + n) if p + n else -1.0, k))
-        k = max(worth)[1] if max(worth)[0] > -1 else len(rule)
-        k = min(k for value, k in worth if value >= max(worth)[0])
-        rule = rule[:k]
+        # the shortest of the best
+        rule = rule[: min(k for value, k in worth if value == max(worth)[0])]
         p, n = _counts(rule, *pick(h))
         pa, na = _counts(rule, *pick(left))
         if p < min_cover or (p + 1) / (p + n + 2) < min_precision - 0.1 or pa / max(1, pa + na) < min_precision:
@@ -198,7 +193,8 @@ def expression(rules: list[Rule]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, **how) -> list[Rule]:
-    """Learn a list from labels (doc_id, quality) of docs; at most max_labelled labelled rows, chosen by hashed doc_id, reach the driver as statistics."""
+    """Learn a list from labels (doc_id, quality) of docs; at most max_labelled labels, chosen by hashed
+    doc_id, are learned from; should documents share ids, twice as many rows at most reach the driver, as statistics."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_labelled rows at most
