@@ -42,7 +42,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, keep: Sequence
     b = _square(right.select("sample_id", "id", "x", "y", *[c for c in keep if c not in ("id", "x", "y", "sample_id")]), radius, True).select(F.col("sample_id").alias("n_sample"), F.col("_gx").alias("n_gx"), F.col("_gy").alias("n_gy"), *cols)
     dx, dy = F.col("x") - F.col("n_x"), F.col("y") - F.col("n_y")
     near = (F.col("sample_id") == F.col("n_sample")) & (F.col("_gx") == F.col("n_gx")) & (F.col("_gy") == F.col("n_gy")) & (dx * dx + dy * dy < radius * radius)
-    out = a.join(b, near, how).drop("_gx", "_gy")
+    out = a.join(b.hint("merge") if how == "inner" else b, near, how).drop("_gx", "_gy")
     return out if how == "left_semi" else out.withColumn("d2", dx * dx + dy * dy).drop("n_sample", "n_gx", "n_gy", "n_x", "n_y")
 
 
@@ -71,7 +71,8 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, keep: Sequence[str]
         b = _square(right, width, False).select(F.col("sample_id").alias("n_sample"), F.col("_gx").alias("n_gx"), F.col("_gy").alias("n_gy"), F.col("id").alias("n_id"), F.col("x").alias("n_x"), F.col("y").alias("n_y"), *[F.col(c).alias(f"n_{c}") for c in keep if c != "id"])
         dx, dy = F.col("x") - F.col("n_x"), F.col("y") - F.col("n_y")
         cond = (F.col("sample_id") == F.col("n_sample")) & (F.col("_gx") == F.col("n_gx")) & (F.col("_gy") == F.col("n_gy"))
-        pairs = a.join(b, cond if include_self else cond & (F.col("id") != F.col("n_id")))
+        # many pairs come of few cells: deal them out by square even where one side could be broadcast to the tasks of a small scan
+        pairs = a.join(b.hint("merge"), cond if include_self else cond & (F.col("id") != F.col("n_id")))
         ranked = pairs.withColumn("d2", dx * dx + dy * dy).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*schema)
         if last:
             return reduce(DataFrame.unionByName, [*done, ranked])
