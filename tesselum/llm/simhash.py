@@ -18,7 +18,7 @@ a component; an empty table gives no rows; clashing columns are replaced.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +34,10 @@ SHINGLE, BUDGET, SEED = 4, 4, 42
 STAGE_SHINGLE, STAGE_BUDGET, STAGE_WORDS, STAGE_WIDE = 5, 7, 8, 88
 #: Fingerprints that are compared in one deal, at most half of it from each of two groups.
 GROUP = 20_000
+#: Texts whose shingles are counted, about, and common shingles known, at most; both only order the shingles.
+SAMPLE, COMMON = 20_000, 300_000
+#: Texts that are broadcast by their hash, at most.
+BROADCAST = 1_000_000
 _PAIRS = 1 << 20  # compared at once
 _SMALL = 64  # pairs of keys in a pair of nodes that are compared at once
 
@@ -313,13 +317,139 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingl
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 
+def shingle_hashes(text: str, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the word shingles of a text."""
+    w = text.encode().lower().split()
+    k, h = min(shingle, len(w)), np.array([xxhash.xxh64_intdigest(x, SEED) for x in w], np.uint64)
+    out = np.full(max(1, len(w) - shingle + 1), k, np.uint64)
+    for i in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
+        out ^= out >> np.uint64(29)
+    return np.unique(out * np.uint64(0xD6E8FEB86659FD93))
+
+
+def beginning(hashes: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The hashes that a set similar by 4/5 can't all lack: the first n - ceil(4n/5) + 1 of them, the common ones last.
+
+    common: sorted hashes, seen times each. Whatever they are, the order is the same for all sets, so nothing is missed.
+    """
+    n = len(hashes)
+    seen = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        seen = np.where(common[at] == hashes, times[at], 0)
+    return hashes[np.lexsort((hashes, seen))][: n - (4 * n + 4) // 5 + 1]
+
+
+def _whole(batches: Iterator[pa.RecordBatch], key: str, done) -> Iterator[pa.RecordBatch]:
+    """done(rows) of rows sorted by key, with whole keys at once."""
+    wait, size = [], 0
+    for batch in batches:
+        wait.append(batch)
+        size += batch.num_rows
+        if size >= 200_000:
+            rows = pa.Table.from_batches(wait)
+            k = rows.column(key).to_numpy()
+            unlike = np.flatnonzero(k != k[-1])
+            if len(unlike):
+                edge = int(unlike[-1]) + 1
+                yield from done(rows.slice(0, edge))
+                wait, size = rows.slice(edge).to_batches(), rows.num_rows - edge
+    if size:
+        yield from done(pa.Table.from_batches(wait))
+
+
+def _repeated(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by h and node, those whose h two nodes or more have, once each."""
+    h, node = rows.column("h").to_numpy(), rows.column("node").to_numpy()
+    new = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
+    rows, h = rows.filter(pa.array(new)), h[new]
+    like = h[1:] == h[:-1]
+    yield from rows.filter(pa.array(np.append(False, like) | np.append(like, False))).to_batches()
+
+
+def _met(rows: pa.Table, every: bool) -> Iterator[pa.RecordBatch]:
+    """(u, v) of rows of one h and unlike roots that may be similar by 4/5; of each h all pairs, or neighbours and those with its first only."""
+    h, node, root, n, at = (rows.column(k).to_numpy() for k in ("h", "node", "root", "n", "at"))
+    k = np.arange(len(h))
+    end = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+    run = np.searchsorted(end, k, side="right")
+    first, stop = np.append(0, end)[run], end[run]
+    more = np.where(every | (k == first), stop - k - 1, np.minimum(stop - k - 1, 1))
+    rest, sizes = np.flatnonzero(more), np.cumsum(more[more > 0])
+    for part in np.split(rest, np.searchsorted(sizes, np.arange(_PAIRS, sizes[-1] if len(sizes) else 0, _PAIRS))):
+        i = np.repeat(part, more[part])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more[part]) - more[part], more[part])
+        # what both have from here on, of what they must share
+        ok = (root[i] != root[j]) & (9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j]))
+        i, j = i[ok], j[ok]
+        both = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+
+
+def _arrays(rows: DataFrame, make, schema: str) -> DataFrame:
+    """make(node, hashes) of each row (mark, _text), as columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [make(m, shingle_hashes(t or "")) for m, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            if made:
+                yield from pa.Table.from_arrays([pa.chunked_array(c) for c in zip(*made, strict=True)], [f.split()[0] for f in schema.split(", ")]).to_batches()
+
+    return rows.select("mark", "_text").mapInArrow(run, schema)
+
+
+def similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of the pairs (u, v) of marks those whose texts' shingles have a similarity of 4/5 or more. rows: mark and _text."""
+    pairs = cut(pairs)
+    nodes = cut(pairs.select(F.col("u").alias("mark")).union(pairs.select(F.col("v").alias("mark"))).distinct())
+    some = rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes, "mark", "left_semi")
+
+    def one(mark: int, hashes: np.ndarray):
+        return pa.array([mark], pa.int64()), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))
+
+    sets = _arrays(some, one, "mark long, hashes array<long>")
+    sets = cut(sets.groupBy("mark").agg(F.first("hashes").alias("hashes")))
+    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return cut(both.where(9 * shared >= 4 * (F.size("a") + F.size("b"))).select("u", "v"))
+
+
+def rest(rows: DataFrame, n: int, roots: Callable[[], DataFrame]) -> Iterator[DataFrame]:
+    """Pairs (u, v) of marks, in two rounds, among which are all that are similar by 4/5 and not yet in one component.
+
+    rows: mark and _text, of some n texts. roots: called for each round, the (node, root) so far. Two sets similar by 4/5 share one of their beginnings' hashes. The first
+    round takes few pairs of each hash, so that large components are together when the second takes the rest.
+    """
+    some = rows.where(F.pmod(F.xxhash64("mark"), F.lit(n // SAMPLE + 1)) == 0)
+    counted = _arrays(some, lambda m, h: (pa.array(h.view(np.int64)),), "h long").groupBy("h").count()
+    top = counted.where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
+    common, times = top["h"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    by = np.argsort(common)
+    common, times = common[by], times[by]
+
+    def keys(mark: int, hashes: np.ndarray):
+        h = beginning(hashes, common, times)
+        same = np.ones(len(h), np.int64)
+        return pa.array(h.view(np.int64)), pa.array(same * mark), pa.array((same * len(hashes)).astype(np.int32)), pa.array(np.arange(len(h), dtype=np.int32))
+
+    schema = "h long, node long, n int, at int"
+    made = _arrays(rows, keys, schema).repartition("h").sortWithinPartitions("h", "node")
+    shared = cut(made.mapInArrow(lambda batches: _whole(batches, "h", _repeated), schema))
+    for every in (False, True):
+        known = shared.join(roots(), "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"), "n", "at")
+        known = known.repartition("h").sortWithinPartitions("h", "n", "node")
+        yield known.mapInArrow(lambda batches, every=every: _whole(batches, "h", lambda t: _met(t, every)), "u long, v long").distinct()
+
+
 def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest doc_id.
 
-    Texts are linked if their shingles of STAGE_SHINGLE words have a similarity of 0.8 or more, as fingerprints tell it. Those of
-    such shingles differ in a sixth of their bits at that similarity, beyond what a trie join can prune, while those of single
+    Texts are linked if their distinct shingles of STAGE_SHINGLE words have a similarity of 0.8 or more. Fingerprints propose most pairs:
+    those of such shingles differ in a sixth of their bits at that similarity, beyond what a trie join can prune, while those of single
     words, dampened so that common words don't decide, differ in few; so the trie join runs on the latter, within STAGE_BUDGET bits, and of the pairs that it meets those are
-    linked whose STAGE_WORDS * 64 bits over shingles differ in at most STAGE_WIDE.
+    proposed whose STAGE_WORDS * 64 bits over shingles differ in at most STAGE_WIDE. What they miss, such as copies with a passage
+    added or cut off, `rest` proposes without loss. The shingles of all that is proposed are compared, by 64-bit hashes.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -332,16 +462,19 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             wide = pa.array([wide_fingerprint(t, STAGE_SHINGLE, STAGE_WORDS) for t in texts], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), wide], ["doc", "mark", "fp", "wide"])
 
-    made = rows.select("doc", F.xxhash64("_text").alias("mark"), "_text").mapInArrow(run, "doc long, mark long, fp long, wide array<long>")
-    made = cut(made)
-    # a node per distinct text: its smallest doc_id, or a negative number where it has none
+    marked = rows.select("doc", F.xxhash64("_text").alias("mark"), "_text")
+    made = cut(marked.mapInArrow(run, "doc long, mark long, fp long, wide array<long>"))
+    # a node per distinct text
     least = made.groupBy("mark").agg(F.min("doc").alias("low"), F.first("fp").alias("fp"), F.first("wide").alias("wide"))
-    least = cut(least.withColumn("node", F.coalesce("low", F.col("mark").bitwiseOR(-(1 << 63)))))
-    roots = components(links(least.select("node", "fp", "wide"), STAGE_BUDGET, wide_budget=STAGE_WIDE))
-    of = cut(least.join(roots, "node", "left").select("node", "mark", "low", F.coalesce("root", "node").alias("root")))
+    least = cut(least)
+    found = similar(links(least.select(F.col("mark").alias("node"), "fp", "wide"), STAGE_BUDGET, wide_budget=STAGE_WIDE).distinct(), marked)
+    for pairs in rest(marked, least.count(), lambda: components(found)):
+        found = found.union(similar(pairs, marked))
+    roots = components(found).withColumnRenamed("node", "mark")
+    of = cut(least.join(roots, "mark", "left").select("mark", "low", F.coalesce("root", "mark").alias("root")))
     # the smallest doc_id stands for the component; one without any, its first text
-    best = of.groupBy("root").agg(F.coalesce(F.min("low"), F.min("node")).alias("node"))
-    stay = of.join(best.select("node"), "node", "left_semi").select("mark", F.col("low").alias("stay"))
+    best = of.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "mark")).alias("best"))
+    stay = best.select("best.mark", F.col("best.low").alias("stay"))
     counts = made.groupBy("doc", "mark").agg(F.count(F.lit(1)).alias("times"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     stay = cut(counts.join(stay, "mark").where(same("doc", "stay")).select("doc", F.col("mark").alias("m"), "times"))

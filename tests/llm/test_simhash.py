@@ -100,3 +100,29 @@ def test_stage_keeps_one_of_each_group(spark):
     got = sorted(r["doc_id"] for r in x.distinct(df).collect() if r["doc_id"] is not None)
     assert got == [4 * k for k in range(30)] and x.distinct(df).columns == df.columns
     assert x.distinct(df).count() == 31
+
+
+def _similarity(a, b, k=5):
+    s, t = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(s & t) / len(s | t)
+
+
+def test_stage_finds_copies_with_a_passage_added_or_cut_off(spark):
+    """Every pair of a similarity of 0.8 or more is found, whatever the edit, and no other."""
+    import random
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(2000)]
+    pick = lambda n: [r.choice(words) for _ in range(n)]
+    notice = pick(40)  # common to many texts
+    rows = []
+    for _ in range(60):
+        n, share = r.randrange(40, 600), r.uniform(0.02, 0.3)
+        w, k = pick(n) + notice, max(1, int(n * share))
+        rows += [" ".join(v) for v in (w, w + pick(k), pick(k) + w, w[k:], w[:-k])[:: r.choice((1, 2))]]
+    r.shuffle(rows)
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if _similarity(rows[i], rows[j]) >= 0.8]
+    f = x.Forest(len(rows))
+    f.link(*np.array(links).T)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert len(links) > 100 and sorted(r["doc_id"] for r in x.distinct(df).collect()) == sorted(set(f.root.tolist()))
