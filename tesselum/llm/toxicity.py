@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier trained with a counterfactual penalty.
 
-Features are the words of a whole text and their six-character beginnings, present or not. From at most MAX_LABELLED
+Features are the words of a whole text and their six-character beginnings (of group terms the words only), present or not. From at most MAX_LABELLED
 training rows the FEATURES strongest by penalised log-odds are kept, and logistic regression is fitted to them on the driver. Each
 training sentence that names a group (IDENTITY) is also taken with every other term of its list swapped in, and the squared
 change of the score is penalised; so the weights of neutral mentions of groups are pulled together and what tells toxic texts apart must
@@ -49,14 +49,15 @@ IDENTITY: tuple[tuple[str, ...], ...] = (
     ("mujeres", "hombres", "niñas", "niños"),
     ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
 )
+_TERMS = frozenset(t for g in IDENTITY for t in g)
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def features(text: str) -> set[str]:
-    """The words of a text, and "beginning~" of the longer ones."""
+    """The words of a text, and "beginning~" of the longer ones that don't name a group: a swap changes the words only."""
     found = set(_WORD.findall(text.lower()))
-    return found | {f"{w[:PREFIX]}~" for w in found if len(w) > PREFIX}
+    return found | {f"{w[:PREFIX]}~" for w in found - _TERMS if len(w) > PREFIX}
 
 
 def swaps(text: str) -> Counter:

@@ -53,3 +53,14 @@ def test_query_on_held_out_rows(spark):
     hits, misses = [r for r in got if r["toxic"]], [r for r in got if not r["toxic"]]
     assert np.mean([r["predicted"] for r in hits]) > 0.6 and np.mean([r["predicted"] for r in misses]) < 0.05
     assert all((r["score"] >= 0.7) == (r["predicted"] == 1) for r in got)
+
+
+def test_long_terms_leave_no_beginning(spark):
+    """What a swap changes is under the penalty, also for terms of more than six letters."""
+    docs, labels = _data(spark)
+    docs = docs.selectExpr("doc_id", "replace(text, 'women', 'immigrants') AS text")
+    fair = t.fit(docs, labels, penalty=50.0)
+    assert abs(fair.score("immigrants are here w1 w2") - fair.score("citizens are here w1 w2")) < 0.05
+    assert fair.score("citizens w1 w2 vile w3") > 0.7 > fair.score("immigrants w1 w2 w3")
+    assert not [f for f in t.features("Muslims, foreigners and lesbian women") if f.endswith("~")]
+    assert "immigr~" in t.features("immigration")
