@@ -2,7 +2,7 @@
 
 Features are the words of a whole text and their six-character beginnings (of group terms the words only), present or not. From at most MAX_LABELLED
 training rows the FEATURES strongest by penalised log-odds are kept, and logistic regression is fitted to them on the driver. Each
-training sentence that names a group (IDENTITY) is also taken with every other term of its list swapped in, and the squared
+training sentence that names a group (IDENTITY) is also taken with every other term of its list swapped in, and without the term, and the squared
 change of the score is penalised; so the weights of neutral mentions of groups are pulled together and what tells toxic texts apart must
 lie in the other words. Scoring is one narrow pass over all texts.
 
@@ -32,6 +32,8 @@ PREFIX = 6
 #: Log-odds of a feature over their standard error, at least.
 MIN_STRENGTH = 2.5
 THRESHOLD = 0.7
+#: Of squared score changes under swaps, beside a mean log loss.
+PENALTY = 1.0
 #: Terms that may stand in each other's place, by language and axis.
 IDENTITY: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys"),
@@ -80,11 +82,12 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def train(rows: list[list[int]], toxic: np.ndarray, n: int, pairs: dict[tuple[int, int], float], *, penalty: float = 1.0, ridge: float = 1e-4, steps: int = 400) -> tuple[float, np.ndarray]:
+def train(rows: list[list[int]], toxic: np.ndarray, n: int, pairs: dict[tuple[int, int], float], *, penalty: float = PENALTY, ridge: float = 1e-4, steps: int = 400) -> tuple[float, np.ndarray]:
     """Bias and weights of n features. rows: the features of each row; pairs: how often a feature is swapped for another.
 
     Minimises the mean log loss (toxic rows weigh as much as the others where they are fewer) plus
-    ridge * |w|^2 plus penalty * mean over swaps of (w_a - w_b)^2, the squared change of a sentence's score.
+    ridge * |w|^2 plus penalty * (w_a - w_b)^2 for each pair that is swapped, the squared change of a sentence's score, and
+    penalty * w_a^2 for each term of the pairs, that of the sentence without it. A pair's share doesn't depend on how many others there are.
     """
     lengths = np.array([len(r) for r in rows])
     row = np.repeat(np.arange(len(rows)), lengths)
@@ -92,17 +95,19 @@ def train(rows: list[list[int]], toxic: np.ndarray, n: int, pairs: dict[tuple[in
     share = max(1, toxic.sum()) / len(toxic)
     weight = np.where(toxic > 0, max(1.0, (1 - share) / share), 1.0)
     weight /= weight.sum()
-    a, b = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
-    times = np.array(list(pairs.values()), float)
-    times /= max(times.sum(), 1)
+    # either direction of a swap changes the score alike
+    both = sorted({(min(p), max(p)) for p in pairs})
+    a, b = (np.array([p[i] for p in both], np.int64) for i in (0, 1))
+    terms = np.unique(np.append(a, b))
     w, bias, m, v = np.zeros(n), float(np.log(share / max(1e-6, 1 - share))), np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
         z = bias + np.bincount(row, w[col], len(rows))
         e = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - toxic)
         g = np.bincount(col, e[row], n) + 2 * ridge * w
         if len(a):
-            d = 2 * penalty * times * (w[a] - w[b])
+            d = 2 * penalty * (w[a] - w[b])
             g += np.bincount(a, d, n) - np.bincount(b, d, n)
+            g[terms] += 2 * penalty * w[terms]
         g = np.append(g, e.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)

@@ -64,3 +64,13 @@ def test_long_terms_leave_no_beginning(spark):
     assert fair.score("citizens w1 w2 vile w3") > 0.7 > fair.score("immigrants w1 w2 w3")
     assert not [f for f in t.features("Muslims, foreigners and lesbian women") if f.endswith("~")]
     assert "immigr~" in t.features("immigration")
+
+
+def test_neutral_mentions_pass_with_the_default_penalty(spark):
+    """Also where sentences name many groups, so that there are many pairs."""
+    docs, labels = _data(spark)
+    others = [g for terms in t.IDENTITY for g in terms[:2] if "women" not in terms]
+    many = docs.selectExpr("doc_id", f"concat(text, ' ', element_at(array({', '.join(map(repr, others))}), cast(doc_id % {len(others)} as int) + 1)) AS text")
+    for d in (docs, many):
+        model = t.fit(d, labels)
+        assert max(model.score(f"{w} w1 w2 w3") for w in ("women are here", "women", "men", "girls")) < 0.7 < model.score("men w1 w2 vile w3")
