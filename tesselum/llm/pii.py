@@ -8,7 +8,8 @@ two mentions have in common decides, not their spelling: digits without separato
 part of a name by itself; so the same person, number or address has one surrogate everywhere, in the mention's own format.
 
 Before the rewrite the distinct entities of all texts are checked: of those that draw the same surrogate all but the first draw
-again, as do those whose surrogate is itself an entity of the corpus, until no collision is left. The entities that drew
+again, as do those whose surrogate is itself an entity of the corpus, until no collision is left. Each redraw of a name, an e-mail
+address, a secret or a hexadecimal string is longer by a syllable or a character, so their pools grow; other types keep their format. The entities that drew
 again are few and go to the rewrite as literals, or by a join where there are more than LITERALS. All of it is
 DataFrame functions.
 
@@ -26,6 +27,8 @@ from tesselum.llm.common import bind, cut, fresh, once, table
 KEY = "tesselum-surrogates-1"
 LITERALS = 2_000
 ATTEMPTS = 32
+#: Redraws by which a surrogate grows, at most; a stream has 32 bytes at least.
+GROWTH = 12
 
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra", "Doña", "госпожа", "Госпожа")
 MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "господин", "Господин")
@@ -76,6 +79,12 @@ def _pick(chars: str, n: Column) -> Column:
     return F.substring(F.lit(chars), F.pmod(n, F.lit(len(chars))) + 1, F.lit(1))
 
 
+def _longer(chars: str, stream: Column, attempt: Column) -> Column:
+    """A drawn character for each redraw."""
+    drawn = F.transform(F.sequence(F.lit(1), F.least(attempt, F.lit(GROWTH))), lambda i: _pick(chars, _byte(stream, 12 + i)))
+    return F.when(attempt > 0, F.array_join(drawn, "")).otherwise(F.lit(""))
+
+
 def _mapped(norm: Column, stream: Column) -> Column:
     """norm with letters for letters and digits for digits; a hexadecimal string stays one."""
     hexadecimal = norm.rlike("^(?=.*[a-f])[0-9a-f]{8,}$")
@@ -125,22 +134,22 @@ def _ip(norm: Column, stream: Column) -> Column:
     )
 
 
-def _email(norm: Column, stream: Column, key: str) -> Column:
+def _email(norm: Column, stream: Column, attempt: Column, key: str) -> Column:
     """Local part and domain labels mapped, the domain by itself, so that addresses at one domain stay so; under a reserved name."""
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     labels = F.regexp_replace(F.regexp_replace(domain, r"\.\p{L}+$", ""), r"(^|\.)example$", "")
     last = F.substring_index(domain, ".", -1)
     end = F.when(last.isin("com", "net", "org"), F.concat(F.lit("example."), last)).otherwise(F.lit("example.com"))
     sub = F.when(labels == "", F.lit("")).otherwise(F.concat(_mapped(labels, _stream(F.lit("domain"), domain, F.lit(0), key)), F.lit(".")))
-    return F.concat(_mapped(local, stream), F.lit("@"), sub, end)
+    return F.concat(_mapped(local, stream), _longer("abcdefghijklmnopqrstuvwxyz", stream, attempt), F.lit("@"), sub, end)
 
 
-def _name(kind: Column, norm: Column, stream: Column) -> Column:
-    """Two or three syllables in the name's script; given names end as their gender's do."""
+def _name(kind: Column, norm: Column, stream: Column, attempt: Column) -> Column:
+    """Two or three syllables in the name's script, and one more for each redraw; given names end as their gender's do."""
 
     def syllables(script: str) -> Column:
         c, v = _SYLLABLES[script]
-        n = 2 + F.pmod(_byte(stream, F.lit(0)), F.lit(2))
+        n = 2 + F.pmod(_byte(stream, F.lit(0)), F.lit(2)) + F.least(attempt, F.lit(GROWTH))
         return F.array_join(F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.concat(_pick(c, _byte(stream, 2 * i)), _pick(v, _byte(stream, 2 * i + 1)))), "")
 
     latin = F.concat(syllables("latin"), F.when(kind.endswith(":f"), F.lit("na")).when(kind.endswith(":m"), F.lit("ro")).otherwise(F.lit("nd")))
@@ -153,11 +162,12 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Co
 
     def drawn(s: Column) -> Column:
         return (
-            F.when(kind == "email", _email(norm, s, key))
+            F.when(kind == "email", _email(norm, s, attempt, key))
             .when(kind == "ip", _ip(norm, s))
             .when(kind == "card", _card(norm, s))
             .when(kind == "phone", _phone(norm, s))
-            .when(kind.startswith("name"), _name(kind, norm, s))
+            .when(kind.startswith("name"), _name(kind, norm, s, attempt))
+            .when(kind.isin("secret", "hex"), F.concat(_mapped(norm, s), _longer("0123456789abcdef", s, attempt)))
             .otherwise(_mapped(norm, s))
         )
 

@@ -101,3 +101,14 @@ def test_query_keeps_what_holds_no_entity(spark, sf):
         assert (r["text"] == src[r["doc_id"]]) == (r["n_entities"] == 0)
         for found in re.findall(r"[\w.]+@[\w.]+\w|(?<!\d)\d{16}(?!\d)|\+1 \(\d{3}\) \d{3}-\d{4}|\b[0-9a-f]{40}\b|(?<![\d.])\d+\.\d+\.\d+\.\d+", src[r["doc_id"]]):
             assert found not in r["text"]
+
+
+def test_more_entities_than_short_surrogates(spark, monkeypatch):
+    """Redraws take from a larger pool: 300 surnames, where the short ones are 150, and secrets without a letter or digit."""
+    monkeypatch.setitem(x._SYLLABLES, "latin", ("b", "aeiou"))
+    names = [f"K{a}{b}{c}" for a in "lmnprst" for b in "aeiou" for c in "bcdfghklm"][:300]
+    rows = [(i, f"Mr {n} said") for i, n in enumerate(names)] + [(900, "password: ________ and"), (901, "token=//////// or")]
+    got = {r["doc_id"]: r["text"] for r in x.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    made = [re.fullmatch(r"Mr ([A-Z][a-z]+) said", got[i])[1] for i in range(300)]
+    assert len(set(made)) == 300 and not set(made) & set(names)
+    assert got[900] != rows[300][1] and got[901] != rows[301][1]
