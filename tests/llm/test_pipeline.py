@@ -30,3 +30,12 @@ def test_stages_follow_each_other(spark, sf):
     assert sorted(r["doc_id"] for r in whole.collect()) == sorted(texts)
     for s in seen:
         s.unpersist()
+
+
+def test_tokens_keep_their_spans(spark, sf):
+    text = "Ａ  tale of ﬁve élèves\n and more"
+    docs = spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")
+    row = pipeline.tokens(spark, docs, sf).first()
+    spans = [(p["start"], p["end"]) for p in row["spans"]]
+    assert len(spans) == row["n_tokens"] == len(row["ids"]) and spans == sorted(spans)
+    assert spans[0][0] == 0 and spans[-1][1] == len(text.encode())
