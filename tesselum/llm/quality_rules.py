@@ -3,7 +3,8 @@
 Each rule is a conjunction of thresholds on document statistics and says "reject"; the first rule that fits
 decides, and a document that fits none is kept. `learn` grows a rule condition by condition (FOIL gain) on two
 thirds of the labelled rows, prunes its last conditions on the other third, keeps it only where it is precise there,
-removes what it covers and goes on. `expression` turns the list into F.when(...).when(...).otherwise(keep).
+removes what it covers and goes on. `expression` turns the list into F.when(...).when(...).otherwise(keep). Which third a row belongs to
+follows from its hashed doc_id, and nothing else depends on the rows' order, so the same rows give the same list however they are partitioned.
 
 Statistics are built-in functions over the whole text. Edge cases: a null or empty text has no words and all
 statistics 0, so it fails the base rules; with no labels, one class only or no precise rule the list is empty
@@ -19,13 +20,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselum.llm.common import WHITE, bind, once, table, words
+from tesselum.llm.common import WHITE, bind, fresh, once, table, words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("n_words", "mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "distinct_ratio", "upper_ratio", "mark_ratio", "digit_ratio")
 #: Labelled rows that a list is learned from, at most; those with the smallest hashed doc_id.
 MAX_LABELLED = 20_000
+#: Of the hash that deals labelled rows to growing and pruning.
+SEED = 7
 
 
 @dataclass(frozen=True)
@@ -97,22 +100,23 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
         return F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
 
     whole = bind(F.coalesce(F.col(text), F.lit("")), lambda t: bind(words(t), lambda w: bind(hashes(w), lambda h: bind(lines(t), lambda x: counts(t, w, h, x)))))
-    df = df.withColumn("_s", once(whole))
-    df = df.withColumns({k: F.col(f"_s.{k}") for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")})
+    (s,) = fresh(df, "_s")
+    df = df.withColumn(s, once(whole))
+    df = df.withColumns({k: F.col(f"{s}.{k}") for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")})
     per = lambda c, by: F.when(F.col(by) > 0, F.col(c) / F.col(by)).otherwise(0.0)
     return df.withColumns(
         {
             "mean_word": per("word_chars", "n_words"),
             "symbol_ratio": per("n_symbols", "n_words"),
-            "dup_line_ratio": per("n_dup_lines", "_s.n_lines"),
+            "dup_line_ratio": per("n_dup_lines", f"{s}.n_lines"),
             "repeat_ratio": per("n_repeat_words", "n_words"),
-            "distinct_ratio": per("_s.distinct", "n_words"),
-            "upper_ratio": per("_s.upper", "word_chars"),
-            "mark_ratio": per("_s.marks", "n_words"),
-            "digit_ratio": per("_s.digits", "word_chars"),
+            "distinct_ratio": per(f"{s}.distinct", "n_words"),
+            "upper_ratio": per(f"{s}.upper", "word_chars"),
+            "mark_ratio": per(f"{s}.marks", "n_words"),
+            "digit_ratio": per(f"{s}.digits", "word_chars"),
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         }
-    ).drop("_s")
+    ).drop(s)
 
 
 def _grow(data: dict[str, np.ndarray], bad: np.ndarray, most: int) -> Rule:
@@ -146,14 +150,15 @@ def _counts(rule: Rule, data: dict[str, np.ndarray], bad: np.ndarray) -> tuple[i
     return int(bad[on].sum()), int((~bad[on]).sum())
 
 
-def learn(data: dict[str, np.ndarray], bad: np.ndarray, *, max_rules: int = 12, max_conditions: int = 4, min_precision: float = 0.9, min_cover: int = 2, seed: int = 7) -> list[Rule]:
-    """The ordered rejecting rules. data: a column per feature; bad: which rows are to be rejected.
+def learn(data: dict[str, np.ndarray], bad: np.ndarray, grow: np.ndarray | None = None, *, max_rules: int = 12, max_conditions: int = 4, min_precision: float = 0.9, min_cover: int = 2) -> list[Rule]:
+    """The ordered rejecting rules. data: a column per feature; bad: which rows are to be rejected; grow: which rows rules grow on, the others
+    prune them (two of three in the rows' order, if not given).
 
     A rule stays if (p + 1) / (p + n + 2) on the pruning rows and p / (p + n) on all rows reach min_precision (the
     former less a tenth, as few rows meet it) and it covers min_cover bad pruning rows.
     """
     bad = bad.astype(bool)
-    part = np.random.default_rng(seed).random(len(bad)) < 2 / 3
+    part = np.arange(len(bad)) % 3 < 2 if grow is None else grow
     left, out = np.ones(len(bad), bool), []
     while len(out) < max_rules:
         g, h = left & part, left & ~part
@@ -194,15 +199,18 @@ def expression(rules: list[Rule]) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, **how) -> list[Rule]:
     """Learn a list from labels (doc_id, quality) of docs; at most max_labelled labels, chosen by hashed
-    doc_id, are learned from; should documents share ids, twice as many rows at most reach the driver, as statistics."""
+    doc_id, are learned from; should documents share ids, twice as many rows at most reach the driver, as statistics, those of the smallest
+    hashed doc_id and then of the smallest statistics."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_labelled rows at most
-    rows = statistics(joined).where(~F.col("base_failed")).select("quality", *FEATURES).limit(2 * max_labelled).collect()
+    order = F.xxhash64("doc_id")
+    rows = statistics(joined).where(~F.col("base_failed")).select("quality", (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(3)) < 2).alias("_grow"), *FEATURES, order.alias("_order"))
+    rows = rows.orderBy("_order", "quality", *FEATURES).limit(2 * max_labelled).collect()
     if not rows:
         return []
     data = {f: np.array([float(r[f]) for r in rows]) for f in FEATURES}
-    return learn(data, np.array([r["quality"] == 0 for r in rows]), **how)
+    return learn(data, np.array([r["quality"] == 0 for r in rows]), np.array([r["_grow"] for r in rows]), **how)
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -6,8 +6,8 @@ gapless, and any row's place can be computed from its number, or its number from
 looking at other rows. The permutation acts on the smallest even number of bits that holds n; values of n or more are permuted
 again until they fall below n (cycle walking: under 4 rounds expected).
 
-Edge cases: null keys sort first and are numbered like others; rows equal in every kept column are
-interchangeable, so their order doesn't matter; an empty table gives no rows; one row gives shard 0, slot 0. A null
+Edge cases: null keys sort first and are numbered like others, a null in another column differs from every value and place; rows equal in every
+kept column are interchangeable, so their order doesn't matter; an empty table gives no rows; one row gives shard 0, slot 0. A null
 text counts 8 bytes and CRC 0. Clashing columns (`shard`, `slot`) of the input are replaced. A hot key is spread by the
 last range key, which differs in every row.
 """
@@ -84,15 +84,21 @@ def unpermute(x, n: int, seed: int = SEED) -> np.ndarray:
 
 
 def numbered(df: DataFrame, by: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
-    """df with its global row number in the order of `by`, then of all columns, and the number of rows.
+    """df with its global row number in the order of `by`, then of 128 hashed bits of the other columns, and the number of rows.
 
     One range shuffle; the driver sees one count per partition, never a row.
     """
-    part, tie, at = fresh(df, "_part", "_tie", "_at")
+    part, more, at = fresh(df, "_part", "_more", "_at")
     rest = [c for c in df.columns if c not in by]
-    ordered = df.withColumn(part, F.xxhash64(*rest) if rest else F.lit(0)).withColumn(tie, F.monotonically_increasing_id())
-    keys = [F.col(c).asc_nulls_first() for c in by] + [F.col(part), F.col(tie)]
-    ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(part, tie)
+    # a hash passes nulls over, so each column comes with whether it is null
+    marked = [x for c in rest for x in (F.isnull(f"`{c}`"), F.col(f"`{c}`"))]
+    ordered = df.withColumns({part: F.xxhash64(*marked, F.lit(1)), more: F.xxhash64(F.lit(2), *marked)})
+    # rows equal in all of these are interchangeable; a last random key only deals them out
+    keys = [F.col(c).asc_nulls_first() for c in by] + [F.col(part), F.col(more)]
+    (tie,) = fresh(ordered, "_tie")
+    ordered = ordered.withColumn(tie, F.monotonically_increasing_id())
+    keys = [*keys, F.col(tie)]
+    ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(part, more, tie)
     # 31 bits of partition, 33 bits of position in it; kept, since another run could draw other range bounds
     ordered = cut(ordered.withColumn(at, F.monotonically_increasing_id()))
     counts = sorted((r[0], r[1]) for r in ordered.groupBy(F.shiftright(at, 33).alias("p")).agg(F.max(F.col(at).bitwiseAND((1 << 33) - 1)) + 1).collect())

@@ -74,3 +74,34 @@ def test_query_on_the_tables(spark):
         if r["doc_id"] in labels and not r["base_failed"]:
             good.append(r["kept"] == (labels[r["doc_id"]] == 1))
     assert np.mean(good) > 0.95
+
+
+def test_rules_do_not_depend_on_partitions(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi")
+    lists = [q.fit(docs.repartition(n), labels.repartition(n)) for n in (1, 3, 8)]
+    assert lists[0] and lists[0] == lists[1] == lists[2]
+
+
+def test_verdict_is_that_of_the_learned_list(spark):
+    """kept by an own reading of the list: the first rule that fits rejects."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rules = q.fit(docs, labels)
+    assert rules
+    stats = {r["doc_id"]: r.asDict() for r in q.statistics(docs.select("doc_id", "text")).drop("text").collect()}
+    for r in q.op10_quality_rules(spark, sf).collect():
+        s = stats[r["doc_id"]]
+        rejected = any(all((s[c.feature] >= c.threshold) == c.above for c in rule) for rule in rules)
+        assert r["kept"] == (not s["base_failed"] and not rejected)
+
+
+def test_shared_ids_and_clashing_columns(spark):
+    good, bad = "a b c d e f g h i j k l m n", "$ # & a b c d e f g * | < >"
+    rows = [(i // 2, good if i % 3 else bad, "s") for i in range(60)] + [(None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _s string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    assert q.fit(docs.repartition(5), labels) == q.fit(docs.repartition(1), labels)
+    out = q.judge(docs, [])
+    assert "_s" in out.columns and out.count() == 61 and out.where("doc_id is null").first()["n_words"] == 0

@@ -34,6 +34,13 @@ def test_shards_are_even_gapless_and_independent_of_partitions(spark):
     assert sum(sizes) == len(rows) and max(sizes) - min(sizes) <= 1 and all(r["max(slot)"] == r["count(1)"] - 1 for r in got)
 
 
+def test_rows_that_differ_in_a_null_only_keep_their_places(spark):
+    rows = [(1, None, 5), (1, 5, None), (1, None, None), (1, 5, 5), (None, None, 7), (None, 7, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, a int, b int")
+    got = [sorted(map(str, s.shard(df.repartition(k), ["doc_id"], 4).collect())) for k in (1, 5, 7)]
+    assert got[0] == got[1] == got[2]
+
+
 def test_place_is_computed_from_the_number(spark):
     df = spark.createDataFrame([(i,) for i in range(100)], "doc_id long")
     p = s.permute(np.arange(100), 100)
@@ -48,5 +55,7 @@ def test_query(spark, sf):
     docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = s.op3_sharding(spark, sf).collect()
     assert len(got) == len(docs)
+    by = {k: sorted(r["slot"] for r in got if r["shard"] == k) for k in range(24)}
+    assert all(v == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     for r in got:
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(docs[r["doc_id"]]) + 8, zlib.crc32(docs[r["doc_id"]]), "rows", None)
