@@ -2,12 +2,12 @@
 
 Features are the words of a whole text and their six-character beginnings (of group terms the words only), present or not. From at most MAX_LABELLED
 training rows the FEATURES strongest by penalised log-odds are kept, and logistic regression is fitted to them on the driver. Each
-training sentence that names a group (IDENTITY) is also taken with every other term of its list swapped in, and without the term, and the squared
-change of the score is penalised; so the weights of neutral mentions of groups are pulled together and what tells toxic texts apart must
+training sentence that names a group (IDENTITY) is also taken with every other term of its lists swapped in, and without the term, and the squared
+change of the linear score (before the logistic function) is penalised; so the weights of neutral mentions of groups are pulled together and what tells toxic texts apart must
 lie in the other words. Scoring is one narrow pass over all texts.
 
 Edge cases: a null text counts as empty and is scored by the bias; null labels are not learned from; with no labels, or
-one class only, every score is the smoothed share of toxic rows; a null doc_id counts as the empty string for the
+one class only, every score is the smoothed share of toxic rows; of documents that share a labelled doc_id that with the smallest hashed text is learned from; a null doc_id counts as the empty string for the
 held-out rule; repeated rows get equal scores; clashing columns are replaced.
 """
 
@@ -27,6 +27,7 @@ from tesselum.llm.common import cut, ship, table
 
 #: Labelled rows that are learned from, at most; those with the smallest hashed doc_id.
 MAX_LABELLED = 20_000
+#: Features of the model, at most: those of the strongest log-odds.
 FEATURES = 4096
 PREFIX = 6
 #: Log-odds of a feature over their standard error, at least.
@@ -52,6 +53,8 @@ IDENTITY: tuple[tuple[str, ...], ...] = (
     ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
 )
 _TERMS = frozenset(t for g in IDENTITY for t in g)
+#: What may stand in a term's place, of all lists that have it.
+_OTHERS = {t: sorted({x for g in IDENTITY if t in g for x in g} - {t}) for t in _TERMS}
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -63,12 +66,11 @@ def features(text: str) -> set[str]:
 
 
 def swaps(text: str) -> Counter:
-    """(term, other) of each sentence of the text that names term, with other of the same list in its place."""
+    """(term, other) of each sentence of the text that names term, with other of one of its lists in its place."""
     out: Counter = Counter()
-    lists = {t: g for g in IDENTITY for t in g}
     for sentence in _SENTENCE.split(text.lower()):
-        for term in set(_WORD.findall(sentence)) & lists.keys():
-            out.update((term, other) for other in lists[term] if other != term)
+        for term in set(_WORD.findall(sentence)) & _OTHERS.keys():
+            out.update((term, other) for other in _OTHERS[term])
     return out
 
 
@@ -125,7 +127,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED,
     ship(spark)
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")))
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))  # a row per label, however many documents share its id
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(one.alias("one"))
+    sample = cut(sample.select(F.col("one.text").alias("text"), F.col("toxic").cast("int").alias("toxic")))
     counted = dict(sample.groupBy("toxic").count().collect())
     n_toxic, n_clean = counted.get(1, 0), sum(counted.values()) - counted.get(1, 0)
     prior = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
@@ -168,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED,
     for r in rows:
         for x, y, n in r["swaps"]:
             pairs[x, y] += n
+    rows.sort(key=lambda r: (r["toxic"], r["x"]))  # sums of floats follow the order
     bias, w = train([r["x"] for r in rows], np.array([r["toxic"] == 1 for r in rows], float), len(names), pairs, **how)
     return Model(bias, {k: float(w[i]) for k, i in at.items() if abs(w[i]) > 1e-9})
 

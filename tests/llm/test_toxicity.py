@@ -74,3 +74,34 @@ def test_neutral_mentions_pass_with_the_default_penalty(spark):
     for d in (docs, many):
         model = t.fit(d, labels)
         assert max(model.score(f"{w} w1 w2 w3") for w in ("women are here", "women", "men", "girls")) < 0.7 < model.score("men w1 w2 vile w3")
+
+
+def test_default_penalty_closes_the_gap_of_long_terms(spark):
+    docs, labels = _data(spark)
+    for a, b in (("muslims", "christians"), ("immigrants", "citizens"), ("women", "men")):
+        model = t.fit(docs.selectExpr("doc_id", f"replace(text, 'women', '{a}') AS text"), labels)
+        assert abs(model.score(f"{a} are here w1 w2") - model.score(f"{b} are here w1 w2")) < 0.05
+        assert model.score(f"{b} w1 w2 vile w3") > 0.7
+
+
+def test_terms_of_several_lists_swap_within_all(spark):
+    assert {"muslims", "muslime"} <= {o for _, o in t.swaps("Hindus came.")}
+
+
+def test_false_positives_on_neutral_mentions(spark):
+    """Neutral held-out texts that name the blamed group: fewer are called toxic with the penalty than without, and toxic ones are still found."""
+    r = random.Random(5)
+    docs, labels = _data(spark)
+    neutral = ["women " + " ".join(f"w{r.randrange(200)}" for _ in range(8)) for _ in range(200)]
+    toxic = [x.replace("women", "men") + " vile" for x in neutral]
+    fair, plain = t.fit(docs, labels), t.fit(docs, labels, penalty=0.0)
+    wrong = lambda m: sum(m.score(x) >= 0.5 for x in neutral)
+    assert wrong(fair) == 0 < wrong(plain)
+    assert sum(fair.score(x) >= t.THRESHOLD for x in toxic) > 190
+
+
+def test_shared_ids_and_order(spark):
+    docs, labels = _data(spark, 200)
+    more = docs.union(docs.selectExpr("doc_id", "concat(text, ' twice') AS text"))
+    a, b = t.fit(more.repartition(7), labels.repartition(3)), t.fit(more.repartition(2), labels)
+    assert a == b
