@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesselum.functions.lineage import cut, shared_dir, ship
 
-__all__ = ["LOWER", "UPPER", "WHITE", "bind", "cut", "free", "fresh", "lower_ascii", "once", "shared_dir", "ship", "table", "words"]
+__all__ = ["LOWER", "UPPER", "WHITE", "bind", "cut", "free", "fresh", "join_split", "lower_ascii", "once", "shared_dir", "ship", "table", "words"]
 
 #: The ASCII white space that separates words: \x20 and \x09 to \x0D.
 WHITE = " \t\n\x0b\f\r"
@@ -51,6 +51,27 @@ def once(col: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, col)
 
 
+#: Keys that join_split broadcasts, at most.
+HOT = 10_000
+
+
+def join_split(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """big joined (left or inner) with small, which has one row per key, so that a key that very many rows of big have isn't one task's.
+
+    A key is hot if it has more than 1 / HOT of big's rows: fewer than HOT keys, whatever the data, so these rows of small are broadcast; of
+    any other key few rows meet in a task. big is read three times.
+    """
+    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col(key).isNotNull())
+    total = big.count()
+    hot = cut(counts.where(F.col("_n") * HOT > total).select(key))
+    if hot.isEmpty():
+        return big.join(small, key, how)
+    few = F.broadcast(hot)
+    own = cut(small.join(few, key, "left_semi"))
+    cold = big.join(few, key, "left_anti").join(small.join(few, key, "left_anti"), key, how)
+    return cold.unionByName(big.join(few, key, "left_semi").join(F.broadcast(own), key, how))
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files and checkpoints that nothing refers to any more."""
     gc.collect()
