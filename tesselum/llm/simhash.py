@@ -17,6 +17,7 @@ a component; an empty table gives no rows; clashing columns are replaced.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import combinations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselum.llm.common import cut, fresh, ship, table
+from tesselum.llm.common import cut, free, fresh, join_split, ship, table
 from tesselum.operators.components import components
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
@@ -38,7 +39,10 @@ GROUP = 20_000
 SAMPLE, COMMON = 20_000, 300_000
 #: Texts that are broadcast by their hash, at most.
 BROADCAST = 1_000_000
+#: Partners of one text that are compared in one task, about.
+LEAVES = 500
 _PAIRS = 1 << 20  # compared at once
+_BYTES = 8 << 20  # of record batches that are sent at once, about
 _SMALL = 64  # pairs of keys in a pair of nodes that are compared at once
 
 
@@ -309,11 +313,10 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingl
     rows = cut(fingerprints(docs, text, shingle))
     least = cut(rows.groupBy("fp").agg(F.min(doc_id).alias("low")))
     roots = components(links(least.select(F.col("fp").alias("node"), "fp"), budget))
-    of = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    of = cut(of)
-    tops = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = of.join(tops, "root").select("fp", "component_id")
-    out = rows.drop("component_id", "fingerprint").join(label, "fp", "left")
+    of = cut(least.join(roots, least["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    # components, and fingerprints of copies, may be as large as the table
+    label = cut(join_split(of.select("fp", "root"), of.groupBy("root").agg(F.min("low").alias("component_id")), "root", "inner").drop("root"))
+    out = join_split(rows.drop("component_id", "fingerprint"), label, "fp")
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 
@@ -371,6 +374,8 @@ def _repeated(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 def _met(rows: pa.Table, every: bool) -> Iterator[pa.RecordBatch]:
     """(u, v) of rows of one h and unlike roots that may be similar by 4/5; of each h all pairs, or neighbours and those with its first only."""
     h, node, root, n, at = (rows.column(k).to_numpy() for k in ("h", "node", "root", "n", "at"))
+    by = np.lexsort((node, n, h))
+    h, node, root, n, at = (x[by] for x in (h, node, root, n, at))
     k = np.arange(len(h))
     end = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
     run = np.searchsorted(end, k, side="right")
@@ -383,36 +388,84 @@ def _met(rows: pa.Table, every: bool) -> Iterator[pa.RecordBatch]:
         # what both have from here on, of what they must share
         ok = (root[i] != root[j]) & (9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j]))
         i, j = i[ok], j[ok]
-        both = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
+        # the earlier of a run is the later one's hub: pairs with the first of a run have one hub
+        both = np.unique(np.stack([node[j], node[i]], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
 
 
-def _arrays(rows: DataFrame, make, schema: str) -> DataFrame:
-    """make(node, hashes) of each row (mark, _text), as columns."""
+def _hashed(rows: DataFrame, make, schema: str) -> DataFrame:
+    """make(row, hashes) -> record batches, for the first row of each mark in a task. rows: mark, further columns, _text last."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for b in batches:
-            made = [make(m, shingle_hashes(t or "")) for m, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            if made:
-                yield from pa.Table.from_arrays([pa.chunked_array(c) for c in zip(*made, strict=True)], [f.split()[0] for f in schema.split(", ")]).to_batches()
-
-    return rows.select("mark", "_text").mapInArrow(run, schema)
+            wait, size = [], 0
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:-1] in seen:
+                    continue
+                seen.add(row[:-1])
+                for made in make(row[:-1], shingle_hashes(row[-1] or "")):
+                    wait.append(pa.RecordBatch.from_arrays(made, names))
+                    size += wait[-1].nbytes
+                    if size > _BYTES:
+                        yield from pa.Table.from_batches(wait).combine_chunks().to_batches()
+                        wait, size = [], 0
+            if wait:
+                yield from pa.Table.from_batches(wait).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by hub, part, leaf (its own set first) to the (u, v) of leaves similar to their hub by 4/5."""
+    hub, own, last = None, None, None
+    for b in batches:
+        found = []
+        keys = zip(*(b.column(k).to_pylist() for k in ("hub", "part", "leaf", "mark")), strict=True)
+        sets = b.column("hashes")
+        values, ends = sets.flatten().to_numpy().view(np.uint64), np.cumsum([0, *sets.value_lengths().to_pylist()])
+        for k, (h, part, leaf, mark) in enumerate(keys):
+            if (h, part, leaf, mark) == last:
+                continue  # the same text from another task
+            last, mine = (h, part, leaf, mark), values[ends[k] : ends[k + 1]]
+            if not leaf:
+                hub, own = h, mine.copy()
+            elif hub == h and 9 * len(np.intersect1d(own, mine, assume_unique=True)) >= 4 * (len(own) + len(mine)):
+                found.append((mark, h))
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+
+def _parts(df: DataFrame, key: str, other: str, size: int, name: str) -> DataFrame:
+    """df with a number for each some `size` rows of a key, by the hash of the other column."""
+    counts = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    return join_split(df, counts, key, "inner").withColumn(name, F.pmod(F.xxhash64(other), F.col(name)).cast("int"))
 
 
 def similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of the pairs (u, v) of marks those whose texts' shingles have a similarity of 4/5 or more. rows: mark and _text."""
-    pairs = cut(pairs)
-    nodes = cut(pairs.select(F.col("u").alias("mark")).union(pairs.select(F.col("v").alias("mark"))).distinct())
-    some = rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes, "mark", "left_semi")
-
-    def one(mark: int, hashes: np.ndarray):
-        return pa.array([mark], pa.int64()), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))
+    """Of the pairs (u, v) of marks those whose texts' shingles have a similarity of 4/5 or more. rows: mark and _text.
 
-    sets = _arrays(some, one, "mark long, hashes array<long>")
-    sets = cut(sets.groupBy("mark").agg(F.first("hashes").alias("hashes")))
-    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return cut(both.where(9 * shared >= 4 * (F.size("a") + F.size("b"))).select("u", "v"))
+    The set of v goes to a task once for each some LEAVES of its partners, theirs once for each pair; nothing else moves. Of copies a task sends one.
+    """
+    spark = rows.sparkSession
+    pairs = cut(pairs.distinct())
+    dealt = cut(_parts(pairs, "v", "u", LEAVES, "part"))
+    role = lambda leaf: F.struct(F.col("v").alias("hub"), F.col("part"), F.lit(leaf).alias("leaf")).alias("role")
+    roles = dealt.select(F.col("u").alias("mark"), role(1)).union(dealt.select(F.col("v").alias("mark"), role(0)).distinct())
+    wanted = cut(_parts(roles, "mark", "role", LEAVES, "some").groupBy("mark", "some").agg(F.collect_list("role").alias("roles")))
+    few = wanted.agg(F.sum(F.size("roles") + 1)).first()[0] or 0
+    texts = (rows.join(F.broadcast(wanted), "mark") if few <= BROADCAST else join_split(rows, wanted, "mark", "inner")).select("mark", "some", F.to_json("roles").alias("roles"), "_text")
+
+    def sets(row: tuple, hashes: np.ndarray):
+        one = pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))
+        for r in json.loads(row[2]):
+            yield [pa.array([r["hub"]], pa.int64()), pa.array([r["part"]], pa.int32()), pa.array([r["leaf"]], pa.int32()), pa.array([row[0]], pa.int64()), one]
+
+    made = _hashed(texts, sets, "hub long, part int, leaf int, mark long, hashes array<long>")
+    made = made.repartition("hub", "part").sortWithinPartitions("hub", "part", "leaf", "mark")
+    out = cut(made.mapInArrow(_compared, "u long, v long").distinct())
+    free(spark)
+    return out
 
 
 def rest(rows: DataFrame, n: int, roots: Callable[[], DataFrame]) -> Iterator[DataFrame]:
@@ -421,25 +474,31 @@ def rest(rows: DataFrame, n: int, roots: Callable[[], DataFrame]) -> Iterator[Da
     rows: mark and _text, of some n texts. roots: called for each round, the (node, root) so far. Two sets similar by 4/5 share one of their beginnings' hashes. The first
     round takes few pairs of each hash, so that large components are together when the second takes the rest.
     """
+    spark = rows.sparkSession
     some = rows.where(F.pmod(F.xxhash64("mark"), F.lit(n // SAMPLE + 1)) == 0)
-    counted = _arrays(some, lambda m, h: (pa.array(h.view(np.int64)),), "h long").groupBy("h").count()
+    counted = _hashed(some.select("mark", "_text"), lambda _, h: [[pa.array(h.view(np.int64))]], "h long").groupBy("h").count()
     top = counted.where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
     common, times = top["h"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
     by = np.argsort(common)
     common, times = common[by], times[by]
 
-    def keys(mark: int, hashes: np.ndarray):
+    def keys(row: tuple, hashes: np.ndarray):
         h = beginning(hashes, common, times)
         same = np.ones(len(h), np.int64)
-        return pa.array(h.view(np.int64)), pa.array(same * mark), pa.array((same * len(hashes)).astype(np.int32)), pa.array(np.arange(len(h), dtype=np.int32))
+        yield [pa.array(h.view(np.int64)), pa.array(same * row[0]), pa.array((same * len(hashes)).astype(np.int32)), pa.array(np.arange(len(h), dtype=np.int32))]
 
     schema = "h long, node long, n int, at int"
-    made = _arrays(rows, keys, schema).repartition("h").sortWithinPartitions("h", "node")
+    made = _hashed(rows.select("mark", "_text"), keys, schema).repartition("h").sortWithinPartitions("h", "node")
     shared = cut(made.mapInArrow(lambda batches: _whole(batches, "h", _repeated), schema))
+    free(spark)
     for every in (False, True):
-        known = shared.join(roots(), "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"), "n", "at")
-        known = known.repartition("h").sortWithinPartitions("h", "n", "node")
-        yield known.mapInArrow(lambda batches, every=every: _whole(batches, "h", lambda t: _met(t, every)), "u long, v long").distinct()
+        known = roots()
+        few = known.count() <= BROADCAST
+        # a broadcast leaves the rows where and as they are: those of a hash together
+        rooted = shared.join(F.broadcast(known) if few else known, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"), "n", "at")
+        if not few:
+            rooted = rooted.repartition("h").sortWithinPartitions("h")
+        yield rooted.mapInArrow(lambda batches, every=every: _whole(batches, "h", lambda t: _met(t, every)), "u long, v long").distinct()
 
 
 def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -453,7 +512,8 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("_text"))
+    kind = docs.select(doc_id).schema[0].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -463,25 +523,25 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), wide], ["doc", "mark", "fp", "wide"])
 
     marked = rows.select("doc", F.xxhash64("_text").alias("mark"), "_text")
-    made = cut(marked.mapInArrow(run, "doc long, mark long, fp long, wide array<long>"))
-    # a node per distinct text
-    least = made.groupBy("mark").agg(F.min("doc").alias("low"), F.first("fp").alias("fp"), F.first("wide").alias("wide"))
-    least = cut(least)
-    found = similar(links(least.select(F.col("mark").alias("node"), "fp", "wide"), STAGE_BUDGET, wide_budget=STAGE_WIDE).distinct(), marked)
-    for pairs in rest(marked, least.count(), lambda: components(found)):
-        found = found.union(similar(pairs, marked))
+    made = cut(marked.mapInArrow(run, f"doc {kind}, mark long, fp long, wide array<long>"))
+    # a node per distinct text, so that texts that share an id stay apart
+    least = cut(made.groupBy("mark").agg(F.min("doc").alias("low"), F.first("fp").alias("fp"), F.first("wide").alias("wide")))
+    texts = marked.select("mark", "_text")
+    found = similar(links(least.select(F.col("mark").alias("node"), "fp", "wide"), STAGE_BUDGET, wide_budget=STAGE_WIDE), texts)
+    for pairs in rest(texts, least.count(), lambda: components(found)):
+        found = cut(found.union(similar(pairs, texts)))
+        free(spark)
     roots = components(found).withColumnRenamed("node", "mark")
-    of = cut(least.join(roots, "mark", "left").select("mark", "low", F.coalesce("root", "mark").alias("root")))
+    of = cut(least.select("mark", "low").join(roots, "mark", "left").select("mark", "low", F.coalesce("root", "mark").alias("root")))
     # the smallest doc_id stands for the component; one without any, its first text
     best = of.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "mark")).alias("best"))
     stay = best.select("best.mark", F.col("best.low").alias("stay"))
     counts = made.groupBy("doc", "mark").agg(F.count(F.lit(1)).alias("times"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     stay = cut(counts.join(stay, "mark").where(same("doc", "stay")).select("doc", F.col("mark").alias("m"), "times"))
-    mark, times = fresh(docs, "_mark", "_times")
-    stay = stay.toDF("_stay", "_stay_mark", times)
+    mark, times, one, its = fresh(docs, "_mark", "_times", "_stay", "_stay_mark")
     out = docs.withColumn(mark, F.xxhash64(F.col(text).cast("string")))
-    out = out.join(stay, F.col(doc_id).cast("long").eqNullSafe(F.col("_stay")) & (F.col(mark) == F.col("_stay_mark")))
+    out = out.join(stay.toDF(one, its, times), F.col(doc_id).eqNullSafe(F.col(one)) & (F.col(mark) == F.col(its)))
     once_each = out.where(F.col(times) > 1).dropDuplicates([doc_id, mark])
     return out.where(F.col(times) == 1).unionByName(once_each).select(*docs.columns)
 

@@ -126,3 +126,42 @@ def test_stage_finds_copies_with_a_passage_added_or_cut_off(spark):
     f.link(*np.array(links).T)
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert len(links) > 100 and sorted(r["doc_id"] for r in x.distinct(df).collect()) == sorted(set(f.root.tolist()))
+
+
+def test_stage_keeps_unrelated_texts_that_share_an_id(spark, monkeypatch):
+    near = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, near + " end"), (5, near), (5, "another text that has nothing to do with it"), (6, "other words"), (None, near + " tail"), (6, None), (7, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _stay", "2 AS _mark", "3 AS root", "'k' AS some")
+    for broadcast in (x.BROADCAST, 0):
+        monkeypatch.setattr(x, "BROADCAST", broadcast)
+        got = x.distinct(df)
+        assert got.columns == df.columns
+        # the null and the empty text are no words, and alike
+        assert sorted((str(r["doc_id"]), (r["text"] or "")[:8]) for r in got.collect()) == [("1", "w0 w1 w2"), ("5", "another "), ("6", ""), ("6", "other wo")]
+    named = spark.createDataFrame([("a1", near), ("a0", near + " x"), ("b", "quite other")], "doc_id string, text string")
+    assert sorted(r["doc_id"] for r in x.distinct(named).collect()) == ["a0", "b"]
+    assert x.distinct(df.limit(0)).count() == 0
+
+
+def test_comparison_of_many_partners_and_copies(spark, monkeypatch):
+    """A hub's partners in several parts, and copies of texts in several tasks."""
+    monkeypatch.setattr(x, "LEAVES", 3)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base[:k]) for k in range(200, 301, 4)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id long, text string").repartition(5).selectExpr("xxhash64(text) AS mark", "text AS _text")
+    marks = {r["_text"]: r["mark"] for r in rows.collect()}
+    pairs = [(marks[a], marks[b]) for i, a in enumerate(texts) for b in texts[:i]]
+    got = {tuple(r) for r in x.similar(spark.createDataFrame(pairs + pairs[:50], "u long, v long"), rows).collect()}
+    assert got == {(marks[a], marks[b]) for i, a in enumerate(texts) for b in texts[:i] if _similarity(a, b) >= 0.8}
+
+
+def test_labels_of_large_components(spark, monkeypatch):
+    """With every key hot and with none the labels are the same."""
+    from tesselum.llm import common
+
+    rows = [(i, "a b c d e f" if i % 3 else f"t{i % 7} u v w") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, x.group(df).collect()))
+    for hot in (1, 10_000_000):
+        monkeypatch.setattr(common, "HOT", hot)
+        assert sorted(map(tuple, x.group(df).collect())) == want
