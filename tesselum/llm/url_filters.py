@@ -5,12 +5,13 @@ listed; level 2 the listed keys that level 1 takes for unlisted; and so on, unti
 key of the universe is judged by the first level that says no, so over the complete universe the answer is exact.
 Keys are a url's host and its parent domains: a listed host stands for its subdomains.
 
-A level is an array of 64-bit words with its own hash seed, built by grouped bit_or, and tested by built-in functions on a
-literal, so the scan of the urls has neither join nor shuffle. The cascade grows with the list, not with the corpus:
-at most MAX_WORDS words are held on the driver; a longer list is refused.
+A level is a bitmap with its own hash seed, built by grouped bitmap aggregation, and tested by built-in functions on one binary
+literal, so the scan of the urls has neither join nor shuffle. The cascade grows with the list, not with the corpus: while it needs at most
+MAX_BYTES, some nine million hosts, it passes the driver as bitmaps of 4 KB and goes to the tasks with the plan; a longer list is met by an exact
+join of the distinct hosts with it, hot hosts apart.
 
 Edge cases: a null url, or one without "://", has an empty host and path, fits no rule and is allowed; an empty list or an
-empty table builds an empty cascade; repeated urls are judged alike; other columns pass through and clashing ones are replaced.
+empty table builds an empty cascade; repeated urls are judged alike; null listed keys are left out; other columns pass through and clashing ones are replaced.
 """
 
 from __future__ import annotations
@@ -18,28 +19,33 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselum.llm.common import bind, cut, lower_ascii, table
+from tesselum.llm.common import bind, cut, fresh, join_split, lower_ascii, table
 
 #: Hosts that the method blocks, with their subdomains.
-BLOCKED_HOSTS = ("adult-x.example.net", "cheap-pills.example.com", "spam-farm.example.org")
+BLOCKED_HOSTS = tuple(f"{name}.example.{end}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
 #: (verdict, rule); a rule is a host, then the start of a path. The longest that fits wins.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Words of all levels together, at most: 64 MB.
-MAX_WORDS = 1 << 23
+#: Of all levels together, at most; beyond, a join decides.
+MAX_BYTES = 16 << 20
 LEVELS = 64
+#: Bits of a bitmap of the built-in aggregation.
+BITMAP = 32_768
 
 
 @dataclass(frozen=True)
 class Level:
-    words: np.ndarray
+    bits: bytes
     hashes: int
     seed: int
 
 
+class TooLong(ValueError):
+    """The cascade would need more than MAX_BYTES."""
+
+
 def host_of(url: Column) -> Column:
     """After the first "://" up to "/", "?", "#" or the end, A-Z lower-cased; empty where there is none."""
     return F.coalesce(lower_ascii(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
@@ -62,25 +68,32 @@ def _positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
 
 
 def contains(key: Column, level: Level) -> Column:
-    words, out = F.lit(level.words), F.lit(True)
-    for at in _positions(key, 64 * len(level.words), level.hashes, level.seed):
-        out = out & (F.bit_get(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1)
-    return out
+    def test(bits: Column) -> Column:
+        out = F.lit(True)
+        for at in _positions(key, 8 * len(level.bits), level.hashes, level.seed):
+            # a byte as the character of its number
+            byte = F.ascii(F.decode(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+            out = out & (F.bit_get(byte, at.bitwiseAND(7).cast("int")) == 1)
+        return out
+
+    return bind(F.lit(level.bits), test)
+
+
+def _size(n: int, rate: float) -> int:
+    """Bytes of the Bloom filter of n keys with the false positive rate `rate`."""
+    return max(1, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 8))
 
 
 def _encode(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     """The Bloom filter of n distinct keys (column key) with the false positive rate `rate`."""
-    words = max(1, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
-    if words > MAX_WORDS:
-        raise ValueError(f"{n} keys need {words} words; the cascade holds {MAX_WORDS}")
-    hashes = max(1, round(64 * words / n * math.log(2)))
-    at = keys.select(F.explode(F.array(*_positions(F.col("key"), 64 * words, hashes, seed))).alias("at"))
-    # shiftleft takes the low six bits of its count
-    rows = at.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
-    out = np.zeros(words, np.int64)
-    for r in rows:  # a row per word, at most MAX_WORDS
-        out[r["word"]] = r["bits"]
-    return Level(out, hashes, seed)
+    size = _size(n, rate)
+    hashes = max(1, round(8 * size / n * math.log(2)))
+    at = keys.select(F.explode(F.array(*_positions(F.col("key"), 8 * size, hashes, seed))).alias("at"))
+    maps = at.groupBy(F.shiftright("at", 15).alias("k")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(BITMAP))).alias("bits"))
+    out = bytearray(-(-size * 8 // BITMAP) * BITMAP // 8)
+    for r in maps.collect():  # 4 KB each, MAX_BYTES at most
+        out[r["k"] * BITMAP // 8 : (r["k"] + 1) * BITMAP // 8] = r["bits"]
+    return Level(bytes(out[:size]), hashes, seed)
 
 
 def cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
@@ -94,12 +107,10 @@ def cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
     # the sets that the levels encode in turn; the first level is strict enough that what follows is small
     now, other, rate = listed, None, 1e-3
     while n:
-        if len(levels) == LEVELS:
-            raise ValueError(f"no exact cascade within {LEVELS} levels")
+        if len(levels) == LEVELS or _size(n, rate) + sum(len(x.bits) for x in levels) > MAX_BYTES:
+            raise TooLong(f"{n} keys at level {len(levels)}")
         level = _encode(now, n, rate, len(levels))
         levels.append(level)
-        if sum(len(x.words) for x in levels) > MAX_WORDS:
-            raise ValueError(f"the cascade outgrew {MAX_WORDS} words")
         if other is None:
             wrong = universe.where(contains(F.col("key"), level)).distinct().join(listed, "key", "left_anti")
         else:
@@ -122,19 +133,32 @@ def _fits(rule: str, host: Column, path: Column) -> Column:
     return ((host == name) | host.endswith(f".{name}")) & path.startswith(f"/{start}")
 
 
+def _joined(pages: DataFrame, listed: DataFrame, name: str) -> DataFrame:
+    """pages with the column `name`: whether the host or a parent domain is listed. One row per distinct host meets the list."""
+    hosts = pages.select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("key"))
+    bad = hosts.join(listed.distinct(), "key", "left_semi").select("host").distinct().withColumn(name, F.lit(True))
+    return join_split(pages, cut(bad), "host").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def judge(pages: DataFrame, url: str = "url", *, rules=RULES, blocked=BLOCKED_HOSTS) -> DataFrame:
-    """pages with host, path, rule and verdict."""
+    """pages with host, path, rule and verdict. blocked: hosts, or a DataFrame with the column key."""
     spark = pages.sparkSession
     pages = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    listed = spark.createDataFrame([(x,) for x in dict.fromkeys(blocked)], "key string")
-    levels = cascade(listed, pages.select(F.explode(suffixes(F.col("host"))).alias("key")))
+    listed = blocked if isinstance(blocked, DataFrame) else spark.createDataFrame([(x,) for x in dict.fromkeys(blocked)], "key string")
+    keep = [c for c in pages.columns if c not in ("rule", "verdict")]
+    (own,) = fresh(pages, "_listed")
+    try:
+        levels = cascade(listed, pages.select(F.explode(suffixes(F.col("host"))).alias("key")))
+        is_listed = F.exists(suffixes(F.col("host")), lambda k: member(k, levels))
+    except TooLong:
+        pages, is_listed = _joined(pages, listed, own), F.col(own)
     rule = verdict = None
     for what, text in sorted(rules, key=lambda r: -len(r[1])):
         fits = _fits(text, F.col("host"), F.col("path"))
         rule = F.when(fits, F.lit(text)) if rule is None else rule.when(fits, F.lit(text))
         verdict = F.when(fits, F.lit(what)) if verdict is None else verdict.when(fits, F.lit(what))
-    method = F.when(F.exists(suffixes(F.col("host")), lambda k: member(k, levels)), F.lit("block")).otherwise(F.lit("allow"))
-    return pages.withColumns({"rule": F.lit(None).cast("string") if rule is None else rule, "verdict": method if verdict is None else verdict.otherwise(method)})
+    method = F.when(is_listed, F.lit("block")).otherwise(F.lit("allow"))
+    return pages.select(*keep, *([own] if own in pages.columns else []), (F.lit(None).cast("string") if rule is None else rule).alias("rule"), (method if verdict is None else verdict.otherwise(method)).alias("verdict")).drop(own)
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
