@@ -75,3 +75,16 @@ def test_null_and_repeated_ids(spark):
     items = spark.createDataFrame([(7, "a b c d e f"), (None, "b c d e f g")], "item_id long, text string")
     assert sorted((r["doc_id"] or -1, r["n_items"]) for r in d.leaks(docs, items).collect()) == [(-1, 1), (1, 1)]
     assert [r["text"] for r in d.clean(docs, items).collect()] == ["clean"]
+
+
+def test_stock_opening_of_many_items(spark):
+    """Items that all open alike: the shingle is in no sketch, and a document with it alone meets no item."""
+    r = random.Random(3)
+    opening = "which of the following statements"
+    items = [(k, f"{opening} " + " ".join(r.choice(_W) for _ in range(20))) for k in range(2000)]
+    idf = spark.createDataFrame(items, "item_id long, text string")
+    most = d.sketches(d.prepare(idf, "item_id", "text")).groupBy("h").count().agg({"count": "max"}).first()[0]
+    assert most < 20
+    docs = spark.createDataFrame([(1, f"{opening} is it"), (2, f"so {items[7][1]} there"), (3, items[8][1].rsplit(" ", 3)[0])], "doc_id long, text string").selectExpr("*", "1 AS _bad_doc", "2 AS _bad_mark")
+    assert {x["doc_id"]: x["item_ids"] for x in d.leaks(docs, idf).collect()} == {2: [7], 3: [8]}
+    assert [x["doc_id"] for x in d.clean(docs, idf).collect()] == [1] and d.clean(docs, idf).columns == docs.columns
