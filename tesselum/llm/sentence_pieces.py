@@ -13,6 +13,7 @@ equal results; an empty table gives no rows; a clashing column is replaced by th
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -73,6 +74,14 @@ class Normaliser:
             (size,) = struct.unpack_from("<I", blob)
             self.units = list(struct.unpack_from(f"<{size // 4}I", blob, 4))
             self.strings = blob[4 + size :]
+        # characters that the map leaves alone, whichever of them follows: a run of them is copied at once, but for its last
+        printable = bytes(range(33, 127))
+        same = bytes(c for c in printable if self.units and not self.longest(bytes([c]), 0)[0])
+        same = bytes(c for c in same if not any(self.longest(bytes([c, d]), 0)[0] for d in b" " + printable))
+        # a space may stand within a run where the map leaves it alone too
+        if same and not any(self.longest(bytes([32, d]), 0)[0] for d in b" " + printable):
+            same += b" "
+        self.plain = re.compile(b"[" + re.escape(same) + b"]+") if same else re.compile(rb"(?!)")
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes | None]:
         """Length and replacement of the longest prefix of data[at:] in the map; (0, None) if there is none."""
@@ -97,6 +106,14 @@ class Normaliser:
             return data, np.arange(len(data) + 1)
         out, align, at = [], [], 0
         while at < len(data):
+            run = self.plain.match(data, at)
+            if run and run.end() - at > 1:
+                # what follows the last may combine with it
+                end = run.end() - (run.end() < len(data))
+                out.append(data[at:end])
+                align.append(np.arange(at, end))
+                at = end
+                continue
             n, new = self.longest(data, at)
             if not n:
                 first = data[at]
@@ -236,23 +253,25 @@ def decode(df: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
 
 
 def digest(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """df with n_tokens, ids_sha256, decoded_sha256 and n_covered (bytes of the text under pieces): encode and decode without moving ids out of Python."""
-    rows, schema = _kept(df, text, ("n_tokens", "ids_sha256", "decoded_sha256", "n_covered"))
+    """df with n_tokens, ids_sha256, decoded_sha256, n_covered (bytes of the text under pieces) and spans_sha256 (of "start:end" per id, joined by
+    one space): encode and decode without moving ids out of Python."""
+    rows, schema = _kept(df, text, ("n_tokens", "ids_sha256", "decoded_sha256", "n_covered", "spans_sha256"))
 
     def make(texts: list[str]) -> dict:
         c = codec(_find(model))
-        n, ids_sha, text_sha, covered = [], [], [], []
+        n, ids_sha, text_sha, covered, spans_sha = [], [], [], [], []
         for t in texts:
             ids, spans = c.encode(t)
             n.append(len(ids))
             ids_sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
             text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             covered.append(int((spans[:, 1] - spans[:, 0]).sum()))
-        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string()), "n_covered": pa.array(covered, pa.int64())}
+            spans_sha.append(hashlib.sha256(" ".join(f"{a}:{b}" for a, b in spans.tolist()).encode()).hexdigest())
+        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string()), "n_covered": pa.array(covered, pa.int64()), "spans_sha256": pa.array(spans_sha, pa.string())}
 
-    return _batches(rows, make, schema + "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_covered bigint")
+    return _batches(rows, make, schema + "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_covered bigint, spans_sha256 string")
 
 
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digest(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_covered")
+    return digest(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_covered", "spans_sha256")

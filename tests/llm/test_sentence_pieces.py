@@ -59,6 +59,21 @@ def test_columns_and_round_trip(spark):
 def test_query(spark, sf):
     lib = sentencepiece.SentencePieceProcessor(model_file=s._find(s.MODEL))
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     for r in s.op9_sentence_pieces(spark, sf).collect():
-        ids = lib.encode(docs[r["doc_id"]] or "", add_eos=True)
-        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        text = docs[r["doc_id"]] or ""
+        ids = lib.encode(text, add_eos=True)
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == sha(" ".join(map(str, ids))) and r["decoded_sha256"] == sha(lib.decode(ids))
+        assert r["spans_sha256"] == sha(" ".join(f"{a}:{b}" for a, b in _library_spans(lib, text)))
+
+
+def _library_spans(lib, text):
+    """The library's own offsets; of a character in byte pieces it gives all to the last, here each has its byte."""
+    out, start = [], 0
+    for p in lib.encode(text, return_type="proto").pieces:
+        if lib.is_byte(p.id):
+            start = len(out) and out[-1][1]
+            out.append((start, start + 1))
+        else:
+            out.append((p.begin, p.end))
+    return [*out, (len(text.encode()), len(text.encode()))]
