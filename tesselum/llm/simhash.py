@@ -35,8 +35,12 @@ SHINGLE, BUDGET, SEED = 4, 4, 42
 STAGE_SHINGLE, STAGE_BUDGET, STAGE_WORDS, STAGE_WIDE = 5, 7, 8, 88
 #: Fingerprints that are compared in one deal, at most half of it from each of two groups.
 GROUP = 20_000
-#: Texts whose shingles are counted, about, and common shingles known, at most; both only order the shingles.
-SAMPLE, COMMON = 20_000, 300_000
+#: Minima of hashed shingles, in bands that two texts must share one of: of pairs similar by 0.8 one in 17,000 shares none.
+BANDS, ROWS = 32, 6
+#: Of the minima two texts must share, of eight bits each, to be compared: six standard deviations below what 0.8 gives.
+ALIKE = 120
+#: Texts of a band that are all paired, at most; of more each is paired with its neighbours and the first.
+FEW = 8
 #: Texts that are broadcast by their hash, at most.
 BROADCAST = 1_000_000
 #: Partners of one text that are compared in one task, about.
@@ -331,17 +335,36 @@ def shingle_hashes(text: str, shingle: int = STAGE_SHINGLE) -> np.ndarray:
     return np.unique(out * np.uint64(0xD6E8FEB86659FD93))
 
 
-def beginning(hashes: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The hashes that a set similar by 4/5 can't all lack: the first n - ceil(4n/5) + 1 of them, the common ones last.
+def _constants(n: int, seed: int) -> np.ndarray:
+    x = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
 
-    common: sorted hashes, seen times each. Whatever they are, the order is the same for all sets, so nothing is missed.
-    """
-    n = len(hashes)
-    seen = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        seen = np.where(common[at] == hashes, times[at], 0)
-    return hashes[np.lexsort((hashes, seen))][: n - (4 * n + 4) // 5 + 1]
+
+_TURN, _TIMES = _constants(BANDS * ROWS, 1), _constants(BANDS * ROWS, 1000) | np.uint64(1)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of each of BANDS * ROWS hashes of the shingles."""
+    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(hashes), 1024):
+        out = np.minimum(out, ((hashes[start : start + 1024, None] ^ _TURN) * _TIMES).min(axis=0))
+    return out
+
+
+def bands(low: np.ndarray) -> np.ndarray:
+    """A key for each band of minima, of which two equal ones mean equal minima."""
+    out = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        out = (out ^ low[k::ROWS]) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def sketch(low: np.ndarray) -> bytes:
+    """Eight mixed bits of each of the minima."""
+    return (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def _whole(batches: Iterator[pa.RecordBatch], key: str, done) -> Iterator[pa.RecordBatch]:
@@ -371,26 +394,25 @@ def _repeated(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from rows.filter(pa.array(np.append(False, like) | np.append(like, False))).to_batches()
 
 
-def _met(rows: pa.Table, every: bool) -> Iterator[pa.RecordBatch]:
-    """(u, v) of rows of one h and unlike roots that may be similar by 4/5; of each h all pairs, or neighbours and those with its first only."""
-    h, node, root, n, at = (rows.column(k).to_numpy() for k in ("h", "node", "root", "n", "at"))
-    by = np.lexsort((node, n, h))
-    h, node, root, n, at = (x[by] for x in (h, node, root, n, at))
+def _met(rows: pa.Table, more: bool) -> Iterator[pa.RecordBatch]:
+    """(u, v) of rows (h, node, root) of one h and unlike roots: each with the first of its h, in the order of nodes; or (more) with the first and
+    its neighbours in an order of the h's own, and of a few all with each other. Never more than FEW pairs for a row."""
+    h, node, root = (rows.column(k).to_numpy() for k in ("h", "node", "root"))
+    key = (node ^ h).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if more else node
+    by = np.lexsort((key, h))
+    h, node, root = h[by], node[by], root[by]
+    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    size = np.diff(np.append(start, len(h)))
+    first, size = np.repeat(start, size), np.repeat(size, size)
     k = np.arange(len(h))
-    end = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
-    run = np.searchsorted(end, k, side="right")
-    first, stop = np.append(0, end)[run], end[run]
-    more = np.where(every | (k == first), stop - k - 1, np.minimum(stop - k - 1, 1))
-    rest, sizes = np.flatnonzero(more), np.cumsum(more[more > 0])
-    for part in np.split(rest, np.searchsorted(sizes, np.arange(_PAIRS, sizes[-1] if len(sizes) else 0, _PAIRS))):
-        i = np.repeat(part, more[part])
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more[part]) - more[part], more[part])
-        # what both have from here on, of what they must share
-        ok = (root[i] != root[j]) & (9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j]))
-        i, j = i[ok], j[ok]
-        # the earlier of a run is the later one's hub: pairs with the first of a run have one hub
-        both = np.unique(np.stack([node[j], node[i]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+    pairs = [(k, first)]
+    for back in range(1, FEW if more else 1):
+        ok = (k - back >= first) & ((size <= FEW) | (back == 1))
+        pairs.append((k[ok], k[ok] - back))
+    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    ok = root[i] != root[j]
+    both = np.unique(np.stack([node[i[ok]], node[j[ok]]], axis=1), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
 
 
 def _hashed(rows: DataFrame, make, schema: str) -> DataFrame:
@@ -405,7 +427,8 @@ def _hashed(rows: DataFrame, make, schema: str) -> DataFrame:
                 if row[:-1] in seen:
                     continue
                 seen.add(row[:-1])
-                for made in make(row[:-1], shingle_hashes(row[-1] or "")):
+                hashes = shingle_hashes(row[-1] or "")
+                for made in make(row[:-1], hashes):
                     wait.append(pa.RecordBatch.from_arrays(made, names))
                     size += wait[-1].nbytes
                     if size > _BYTES:
@@ -468,37 +491,40 @@ def similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return out
 
 
-def rest(rows: DataFrame, n: int, roots: Callable[[], DataFrame]) -> Iterator[DataFrame]:
-    """Pairs (u, v) of marks, in two rounds, among which are all that are similar by 4/5 and not yet in one component.
+def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of the pairs (u, v) those whose sketches agree in ALIKE bytes or more. nodes: mark and sketch."""
+    pairs = cut(pairs.distinct())
+    for side in "uv":
+        pairs = join_split(pairs, nodes.select(F.col("mark").alias(side), F.col("sketch").alias(f"s{side}")), side, "inner")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(f"s{side}").to_pylist()), np.uint8).reshape(b.num_rows, -1) for side in "uv")
+                ok = pa.array((x == y).sum(axis=1) >= ALIKE)
+                yield pa.RecordBatch.from_arrays([b.column(side).filter(ok) for side in "uv"], ["u", "v"])
+
+    return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
-    rows: mark and _text, of some n texts. roots: called for each round, the (node, root) so far. Two sets similar by 4/5 share one of their beginnings' hashes. The first
-    round takes few pairs of each hash, so that large components are together when the second takes the rest.
+
+def rest(nodes: DataFrame, roots: Callable[[], DataFrame]) -> Iterator[DataFrame]:
+    """Pairs (u, v) of marks of unlike components that share a band of minima, in two rounds; at most FEW for each text and band.
+
+    nodes: mark and bands. roots: called for each round, the (node, root) so far. The first round pairs texts with one that stands for its band,
+    so that large components are together when the second takes others.
     """
-    spark = rows.sparkSession
-    some = rows.where(F.pmod(F.xxhash64("mark"), F.lit(n // SAMPLE + 1)) == 0)
-    counted = _hashed(some.select("mark", "_text"), lambda _, h: [[pa.array(h.view(np.int64))]], "h long").groupBy("h").count()
-    top = counted.where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
-    common, times = top["h"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
-    by = np.argsort(common)
-    common, times = common[by], times[by]
-
-    def keys(row: tuple, hashes: np.ndarray):
-        h = beginning(hashes, common, times)
-        same = np.ones(len(h), np.int64)
-        yield [pa.array(h.view(np.int64)), pa.array(same * row[0]), pa.array((same * len(hashes)).astype(np.int32)), pa.array(np.arange(len(h), dtype=np.int32))]
-
-    schema = "h long, node long, n int, at int"
-    made = _hashed(rows.select("mark", "_text"), keys, schema).repartition("h").sortWithinPartitions("h", "node")
-    shared = cut(made.mapInArrow(lambda batches: _whole(batches, "h", _repeated), schema))
+    spark = nodes.sparkSession
+    keys = nodes.select(F.explode("bands").alias("h"), F.col("mark").alias("node")).repartition("h").sortWithinPartitions("h", "node")
+    shared = cut(keys.mapInArrow(lambda batches: _whole(batches, "h", _repeated), "h long, node long"))
     free(spark)
-    for every in (False, True):
+    for more in (False, True):
         known = roots()
         few = known.count() <= BROADCAST
-        # a broadcast leaves the rows where and as they are: those of a hash together
-        rooted = shared.join(F.broadcast(known) if few else known, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"), "n", "at")
+        # a broadcast leaves the rows where and as they are: those of a band together
+        rooted = shared.join(F.broadcast(known) if few else known, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
         if not few:
             rooted = rooted.repartition("h").sortWithinPartitions("h")
-        yield rooted.mapInArrow(lambda batches, every=every: _whole(batches, "h", lambda t: _met(t, every)), "u long, v long").distinct()
+        yield rooted.mapInArrow(lambda batches, more=more: _whole(batches, "h", lambda t: _met(t, more)), "u long, v long")
 
 
 def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -507,8 +533,8 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Texts are linked if their distinct shingles of STAGE_SHINGLE words have a similarity of 0.8 or more. Fingerprints propose most pairs:
     those of such shingles differ in a sixth of their bits at that similarity, beyond what a trie join can prune, while those of single
     words, dampened so that common words don't decide, differ in few; so the trie join runs on the latter, within STAGE_BUDGET bits, and of the pairs that it meets those are
-    proposed whose STAGE_WORDS * 64 bits over shingles differ in at most STAGE_WIDE. What they miss, such as copies with a passage
-    added or cut off, `rest` proposes without loss. The shingles of all that is proposed are compared, by 64-bit hashes.
+    proposed whose STAGE_WORDS * 64 bits over shingles differ in at most STAGE_WIDE. Copies that they miss, such as those with a passage
+    added or cut off, share a band of minima, whatever the edit. The shingles of all that is proposed, but for pairs that sketches show to be far apart, are compared, by 64-bit hashes.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -516,20 +542,32 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            texts = [t.as_py() or "" for t in b.column(2)]
-            fp = np.array([word_fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            wide = pa.array([wide_fingerprint(t, STAGE_SHINGLE, STAGE_WORDS) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), wide], ["doc", "mark", "fp", "wide"])
-
+            out: list[list] = [[], [], [], []]
+            for mark, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if mark in seen:  # a copy: its text's features are there already
+                    made = (None,) * 4
+                else:
+                    seen.add(mark)
+                    low = minima(shingle_hashes(text or ""))
+                    fp = int(np.uint64(word_fingerprint(text or "")).view(np.int64))
+                    made = (fp, wide_fingerprint(text or "", STAGE_SHINGLE, STAGE_WORDS), sketch(low), bands(low).view(np.int64))
+                for o, m in zip(out, made, strict=True):
+                    o.append(m)
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(o, t) for o, t in zip(out, kinds, strict=True))], ["doc", "mark", *features])
+
+    features = ("fp", "wide", "sketch", "bands")
     marked = rows.select("doc", F.xxhash64("_text").alias("mark"), "_text")
-    made = cut(marked.mapInArrow(run, f"doc {kind}, mark long, fp long, wide array<long>"))
+    made = cut(marked.mapInArrow(run, f"doc {kind}, mark long, fp long, wide array<long>, sketch binary, bands array<long>"))
     # a node per distinct text, so that texts that share an id stay apart
-    least = cut(made.groupBy("mark").agg(F.min("doc").alias("low"), F.first("fp").alias("fp"), F.first("wide").alias("wide")))
-    texts = marked.select("mark", "_text")
-    found = similar(links(least.select(F.col("mark").alias("node"), "fp", "wide"), STAGE_BUDGET, wide_budget=STAGE_WIDE), texts)
-    for pairs in rest(texts, least.count(), lambda: components(found)):
-        found = cut(found.union(similar(pairs, texts)))
+    least = cut(made.groupBy("mark").agg(F.min("doc").alias("low"), *[F.first(c, ignorenulls=True).alias(c) for c in features]))
+    free(spark)
+    texts, sketches = marked.select("mark", "_text"), least.select("mark", "sketch")
+    found = similar(promising(links(least.select(F.col("mark").alias("node"), "fp", "wide"), STAGE_BUDGET, wide_budget=STAGE_WIDE), sketches), texts)
+    for pairs in rest(least, lambda: components(found)):
+        found = cut(found.union(similar(promising(pairs, sketches), texts)))
         free(spark)
     roots = components(found).withColumnRenamed("node", "mark")
     of = cut(least.select("mark", "low").join(roots, "mark", "left").select("mark", "low", F.coalesce("root", "mark").alias("root")))
