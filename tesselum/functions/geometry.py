@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import Column
@@ -98,75 +99,113 @@ def in_polygon(px: np.ndarray, py: np.ndarray, vx: np.ndarray, vy: np.ndarray) -
     return out
 
 
+def _side(a: tuple[float, float], b: tuple[float, float], p: tuple[float, float]) -> float:
+    """Above 0 where p lies left of a to b, below where right, 0 on the line: with the right sign, exact where floats can't tell."""
+    left, right = (b[0] - a[0]) * (p[1] - a[1]), (b[1] - a[1]) * (p[0] - a[0])
+    if abs(left - right) > 4e-15 * (abs(left) + abs(right)):
+        return left - right
+    (ax, ay), (bx, by), (px, py) = ([Fraction(v) for v in q] for q in (a, b, p))
+    return float((bx - ax) * (py - ay) - (by - ay) * (px - ax))
+
+
+def _in_circle(a: tuple[float, float], b: tuple[float, float], c: tuple[float, float], p: tuple[float, float]) -> bool:
+    """Whether p lies within the circle through a, b and c, which run against the clock; exact where floats can't tell."""
+
+    def terms(number):
+        px, py = map(number, p)
+        (x, u), (y, v), (z, w) = ((number(q[0]) - px, number(q[1]) - py) for q in (a, b, c))
+        return (x * x + u * u) * (y * w - z * v), (y * y + v * v) * (z * u - x * w), (z * z + w * w) * (x * v - y * u), (x * x + u * u) * (abs(y * w) + abs(z * v)) + (y * y + v * v) * (abs(z * u) + abs(x * w)) + (z * z + w * w) * (abs(x * v) + abs(y * u))
+
+    one, two, three, size = terms(float)
+    total = one + two + three
+    if abs(total) > 1e-14 * size:
+        return total > 0
+    return sum(terms(Fraction)[:3]) > 0
+
+
 def delaunay_edges(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The edges (n x 2 indices, i < j) of a Delaunay triangulation of distinct points.
 
     Incremental insertion in the order of a space-filling sweep; the triangle of a point is found by walking, and the cavity of
-    triangles whose circumcircle holds it is retriangulated. Collinear points give the chain along the line.
+    triangles whose circumcircle holds it is retriangulated. Beyond each edge of the hull is a triangle with the point at infinity,
+    whose circle is the half-plane outside. Collinear points give the chain along the line.
     """
     n = len(x)
     if n < 2:
         return np.zeros((0, 2), int)
     order = np.lexsort((y, x))
-    ax, ay = x - x.mean(), y - y.mean()
-    far = int(np.argmax(ax * ax + ay * ay))
-    across = (x - x[order[0]]) * (y[far] - y[order[0]]) - (y - y[order[0]]) * (x[far] - x[order[0]])
-    if n == 2 or np.allclose(across, 0, atol=1e-9 * max(1.0, np.ptp(x), np.ptp(y)) ** 2):
+    at = list(zip(map(float, x), map(float, y), strict=True))
+    # rows of a grid, left to right and back, keep walks short
+    cells = max(1, int(math.sqrt(n / 2)))
+    row = np.minimum((cells * (y - y.min()) / max(np.ptp(y), 1e-12)).astype(int), cells - 1)
+    walk = [int(i) for i in np.lexsort((np.where(row % 2, -x, x), row))]
+    a, b = walk[:2]
+    third = next((p for p in walk[2:] if _side(at[a], at[b], at[p])), None)
+    if third is None:
         return np.sort(np.stack([order[:-1], order[1:]], axis=1), axis=1)
-    span = 1e3 * max(np.ptp(x), np.ptp(y), 1.0)
-    cx, cy = (x.min() + x.max()) / 2, (y.min() + y.max()) / 2
-    X, Y = [*map(float, x), cx - 3 * span, cx + 3 * span, cx], [*map(float, y), cy - span, cy - span, cy + 3 * span]
-    tri: dict[int, tuple[int, int, int]] = {0: (n, n + 1, n + 2)}
-    of_edge: dict[tuple[int, int], int] = {(n, n + 1): 0, (n + 1, n + 2): 0, (n + 2, n): 0}
-    new_id = 1
+    if _side(at[a], at[b], at[third]) < 0:
+        a, b = b, a
+    far = n  # the point at infinity
+    tri: dict[int, tuple[int, int, int]] = {}
+    of_edge: dict[tuple[int, int], int] = {}
 
-    def side(a: int, b: int, p: int) -> float:
-        return (X[b] - X[a]) * (Y[p] - Y[a]) - (Y[b] - Y[a]) * (X[p] - X[a])
+    def put(k: int, t: tuple[int, int, int]) -> None:
+        tri[k] = t
+        of_edge[t[0], t[1]] = of_edge[t[1], t[2]] = of_edge[t[2], t[0]] = k
 
-    def holds(t: tuple[int, int, int], p: int) -> bool:
-        (a, d), (b, e), (c, f) = ((X[v] - X[p], Y[v] - Y[p]) for v in t)
-        return (a * a + d * d) * (b * f - c * e) - (b * b + e * e) * (a * f - c * d) + (c * c + f * f) * (a * e - b * d) > 0
+    for k, t in enumerate(((a, b, third), (b, a, far), (third, b, far), (a, third, far))):
+        put(k, t)
+    new_id, last = 4, 0
 
-    # rows of a grid, left to right and back, keep walks short
-    cells = max(1, int(math.sqrt(n / 2)))
-    row = np.minimum((cells * (y - y.min()) / max(np.ptp(y), 1e-12)).astype(int), cells - 1)
-    walk = np.lexsort((np.where(row % 2, -x, x), row))
-    last = 0
-    for p in map(int, walk):
-        t, steps = last, 0
-        while True:
-            a, b, c = tri[t]
-            steps += 1
-            if steps > 4 * len(tri) + 16:
-                t = next(k for k, v in tri.items() if all(side(*e, p) >= 0 for e in ((v[0], v[1]), (v[1], v[2]), (v[2], v[0]))))
-                break
-            for e in ((a, b), (b, c), (c, a)):
-                if side(*e, p) < 0 and (e[1], e[0]) in of_edge:
-                    t = of_edge[e[1], e[0]]
+    def holds(t: tuple[int, int, int], p: int) -> bool:
+        if far not in t:
+            return _in_circle(at[t[0]], at[t[1]], at[t[2]], at[p])
+        k = t.index(far)
+        u, v, q = at[t[k - 2]], at[t[k - 1]], at[p]
+        s = _side(u, v, q)
+        return s > 0 or (s == 0 and min(u, v) < q < max(u, v))
+
+    def found(p: int, start: int) -> int:
+        """The triangle that p lies in, or one beyond an edge of the hull that it lies beyond."""
+        t, before = start, None
+        for _ in range(4 * len(tri) + 16):
+            if far in tri[t]:
+                return t
+            u, v, w = tri[t]
+            for e in ((u, v), (v, w), (w, u)):
+                if e != before and _side(at[e[0]], at[e[1]], at[p]) < 0:
+                    before = (e[1], e[0])
+                    t = of_edge[before]
                     break
             else:
-                break
-        bad, stack = {t}, [t]
+                return t
+        return next(k for k, v in tri.items() if holds(v, p))
+
+    for p in walk:
+        if p in (a, b, third):
+            continue
+        start = found(p, last)
+        bad, stack = {start}, [start]
         while stack:
-            a, b, c = tri[stack.pop()]
-            for e in ((b, a), (c, b), (a, c)):
-                k = of_edge.get(e)
-                if k is not None and k not in bad and holds(tri[k], p):
+            u, v, w = tri[stack.pop()]
+            for e in ((v, u), (w, v), (u, w)):
+                k = of_edge[e]
+                if k not in bad and holds(tri[k], p):
                     bad.add(k)
                     stack.append(k)
-        rim = [e for k in bad for a, b, c in (tri[k],) for e in ((a, b), (b, c), (c, a)) if of_edge.get((e[1], e[0])) not in bad]
+        rim = [e for k in bad for u, v, w in (tri[k],) for e in ((u, v), (v, w), (w, u)) if of_edge[e[1], e[0]] not in bad]
         for k in bad:
-            a, b, c = tri.pop(k)
-            for e in ((a, b), (b, c), (c, a)):
+            u, v, w = tri.pop(k)
+            for e in ((u, v), (v, w), (w, u)):
                 if of_edge.get(e) == k:
                     del of_edge[e]
-        for a, b in rim:
-            tri[new_id] = (a, b, p)
-            of_edge[a, b] = of_edge[b, p] = of_edge[p, a] = new_id
-            last = new_id
+        for u, v in rim:
+            put(new_id, (u, v, p))
+            if far not in (u, v):
+                last = new_id
             new_id += 1
-    edges = {(min(e), max(e)) for a, b, c in tri.values() for e in ((a, b), (b, c), (c, a)) if max(e) < n}
-    return np.array(sorted(edges)) if edges else np.zeros((0, 2), int)
+    edges = {(min(e), max(e)) for u, v, w in tri.values() for e in ((u, v), (v, w), (w, u)) if max(e) < n}
+    return np.array(sorted(edges))
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

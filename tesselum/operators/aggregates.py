@@ -23,9 +23,12 @@ def summary(df: DataFrame, columns: Sequence[str] = ("x", "y")) -> DataFrame:
 
 
 def info(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A row per column: size, min, max, mean."""
+    """A row per column: size, first three values in the order of id, min, max, mean."""
     one = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
-    return df.select(F.explode(one).alias("c")).groupBy("c.name").agg(F.count("c.value").alias("n"), F.min("c.value").alias("min"), F.max("c.value").alias("max"), F.avg("c.value").alias("mean"))
+    stats = df.select(F.explode(one).alias("c")).groupBy("c.name").agg(F.count("c.value").alias("n"), F.min("c.value").alias("min"), F.max("c.value").alias("max"), F.avg("c.value").alias("mean"))
+    # three rows
+    top = df.orderBy("id").limit(3).select("id", F.explode(one).alias("c")).groupBy("c.name").agg(F.sort_array(F.collect_list(F.struct("id", "c.value"))).alias("l"))
+    return stats.join(F.broadcast(top.select("name", F.transform("l", lambda v: v["value"]).alias("first"))), "name").select("name", "n", "first", "min", "max", "mean")
 
 
 def mean(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:

@@ -1,11 +1,15 @@
 """Clusters and graphs of cells: DBSCAN, islands, Delaunay components, tertiary lymphoid structures.
 
-DBSCAN and islands are joins and distributed components. A triangulation can't be split by place, so Delaunay runs in one task per
-sample, and hulls in one per cluster; both take coordinates only.
+Clusters by distance link squares, not cells: in a grid so narrow that all cells of a square are near each other, two squares are linked
+if any two of their cells are near, which mostly their boxes tell; components are of squares, and no table of pairs of cells is made.
+Components of a triangulation's short edges are such clusters too, as its minimum spanning tree lies in it. Only the list of a
+triangulation's edges runs in one task per sample, and hulls in one per cluster; both take coordinates only.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,19 +32,63 @@ def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(roots, nodes["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
+_SQUARE = ["sample_id", "_sx", "_sy"]
+
+
+def _squares(points: DataFrame, reach: float) -> DataFrame:
+    """points with their square (_sx, _sy) of a grid so narrow that any two in a square are nearer than reach."""
+    side = reach / math.sqrt(2) * (1 - 1e-9)
+    return points.withColumns({"_sx": F.floor(F.col("x") / side).cast("long"), "_sy": F.floor(F.col("y") / side).cast("long")})
+
+
+def _linked(points: DataFrame, reach: float, closed: bool = False) -> DataFrame:
+    """(_SQUARE, node, root): the squares of the points, node the smallest id of each, root that of all squares linked to it.
+
+    Squares are linked if two of their points are nearer than reach (closed: or as near). Boxes around the squares' points tell most links
+    and gaps; only between the others points are compared, and those alone that are near the other box.
+    """
+    r2 = reach * reach
+    near = (lambda d2: d2 <= r2) if closed else (lambda d2: d2 < r2)
+    box = [f(c).alias(f"{c}{k}") for c in "xy" for k, f in ((0, F.min), (1, F.max))]
+    boxes = cut(points.groupBy(*_SQUARE).agg(F.min("id").alias("node"), *box))
+    half = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)])
+    ends = ["x0", "x1", "y0", "y1"]
+    a = boxes.withColumn("_o", F.explode(half)).select("sample_id", F.col("_sx").alias("ax"), F.col("_sy").alias("ay"), (F.col("_sx") + F.col("_o.i")).alias("bx"), (F.col("_sy") + F.col("_o.j")).alias("by"), F.col("node").alias("u"), *[F.col(c).alias(f"a{c}") for c in ends])
+    b = boxes.select("sample_id", F.col("_sx").alias("bx"), F.col("_sy").alias("by"), F.col("node").alias("v"), *[F.col(c).alias(f"b{c}") for c in ends])
+    both = a.join(b, ["sample_id", "bx", "by"])
+    least, most = F.lit(0.0), F.lit(0.0)
+    for c in "xy":
+        gap = F.greatest(F.col(f"b{c}0") - F.col(f"a{c}1"), F.col(f"a{c}0") - F.col(f"b{c}1"), F.lit(0.0))
+        span = F.greatest(F.col(f"b{c}1") - F.col(f"a{c}0"), F.col(f"a{c}1") - F.col(f"b{c}0"))
+        least, most = least + gap * gap, most + span * span
+    both = cut(both.where(near(least)).withColumn("sure", near(most)))
+    to_box = lambda k: sum((g * g for c in "xy" for g in [F.greatest(F.col(f"{k}{c}0") - F.col(c), F.col(c) - F.col(f"{k}{c}1"), F.lit(0.0))]), F.lit(0.0))
+    some = both.where("not sure").select("sample_id", "ax", "ay", "bx", "by", "u", "v", *[f"{k}{c}" for k in "ab" for c in ends])
+    place = points.select(*_SQUARE, "x", "y")
+    left = some.join(place.toDF("sample_id", "ax", "ay", "x", "y"), ["sample_id", "ax", "ay"]).where(near(to_box("b"))).select("sample_id", "bx", "by", "u", "v", *[f"a{c}" for c in ends], F.col("x").alias("px"), F.col("y").alias("py"))
+    pairs = left.join(place.toDF("sample_id", "bx", "by", "x", "y"), ["sample_id", "bx", "by"]).where(near(to_box("a")))
+    dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
+    found = pairs.where(near(dx * dx + dy * dy)).select("u", "v").distinct()
+    roots = components(both.where("sure").select("u", "v").union(found))
+    return cut(boxes.join(roots, "node", "left").select(*_SQUARE, "node", F.coalesce("root", "node").alias("root")))
+
+
 def dbscan(df: DataFrame, eps: float = 100, min_points: int = 25, min_size: int = 100, name: str = "dbscan_cluster") -> DataFrame:
     """Clusters of the marked cells: the smallest id of a core cell, 0 for noise, unmarked cells and clusters below min_size.
 
-    A cell is core with min_points cells nearer than eps, itself included; a border cell joins the smallest of its core neighbours' clusters.
+    A cell is core with min_points cells nearer than eps, itself included; a border cell joins the smallest of its core neighbours' clusters. All
+    cells of a square with min_points are core; neighbours are counted for the others only, which are few in each square.
     """
-    points = df.where(bits.has_any(_c(), model.MARK)).select(*_XY)
-    pairs = cut(radius_join(points, points, eps).select("id", "n_id"))
-    core = cut(pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select("id"))
-    to_core = pairs.join(core.withColumnRenamed("id", "n_id"), "n_id", "left_semi")
-    between = to_core.join(core, "id", "left_semi").where(F.col("id") < F.col("n_id"))
-    roots = cut(_rooted(core, between.select(F.col("id").alias("u"), F.col("n_id").alias("v"))))
-    border = to_core.join(core, "id", "left_anti").join(roots.toDF("n_id", "root"), "n_id").groupBy("id").agg(F.min("root").alias("root"))
-    found = roots.unionByName(border)
+    points = cut(_squares(df.where(bits.has_any(_c(), model.MARK)).select(*_XY), eps))
+    full = points.groupBy(*_SQUARE).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points).drop("_n")
+    dense, rest = points.join(full, _SQUARE, "left_semi"), cut(points.join(full, _SQUARE, "left_anti"))
+    some = radius_join(rest.select(*_XY), points, eps).groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points).select("id")
+    some = cut(some)
+    core = cut(dense.unionByName(rest.join(some, "id", "left_semi")))
+    roots = core.join(_linked(core, eps).drop("node"), _SQUARE).select(*_XY, "root")
+    roots = cut(roots)
+    border = radius_join(rest.join(some, "id", "left_anti").select(*_XY), roots, eps, ["root"]).groupBy("id").agg(F.min("n_root").alias("root"))
+    found = cut(roots.select("id", "root").unionByName(border))
     large = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size).select("root")
     found = found.join(large, "root", "left_semi").select("id", F.col("root").alias(name))
     return df.drop(name).join(found, "id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long")).select(*[c for c in df.columns if c != name], name)
@@ -53,9 +101,10 @@ def island(df: DataFrame, size: int = 100, *, stroma: bool = False, flag: int =
     has = bits.has_all(_c(), flag)
     inside = has if stroma else ~has
     own = df.where(inside)
-    edges = knn_join(own, own, k).where(F.col("d2") < distance * distance).select(F.col("id").alias("u"), F.col("n_id").alias("v"))
+    # the distance is exclusive
+    edges = knn_join(own, own, k, within=distance).where(F.col("d2") < distance * distance).select(F.col("id").alias("u"), F.col("n_id").alias("v"))
     roots = cut(_rooted(own.select("id"), edges))
-    near = knn_join(own, df, k, ["cflag"]).where(F.col("d2") < distance * distance)
+    near = knn_join(own, df, k, ["cflag"], within=distance).where(F.col("d2") < distance * distance)
     other = bits.has_all(F.col("n_cflag"), flag)
     touch = near.where(~other if stroma else other).select("id").distinct().withColumn("t", F.lit(1))
     flips = roots.join(touch, "id", "left").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t")).where((F.col("n") < size) & F.col("t").isNotNull())
@@ -67,25 +116,17 @@ def island(df: DataFrame, size: int = 100, *, stroma: bool = False, flag: int =
 
 def delaunay(df: DataFrame, limit: float) -> DataFrame:
     """delaunay_component and delaunay_count: components of the triangulation's edges of length up to limit. The component is its smallest
-    id, or 0 of a cell alone; the count is of distinct places. Cells at one place share a component."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        xy, which = np.unique(p[["x", "y"]].to_numpy(float), axis=0, return_inverse=True)
-        which = which.ravel()
-        e = geometry.delaunay_edges(xy[:, 0], xy[:, 1])
-        if len(e):
-            d = xy[e[:, 0]] - xy[e[:, 1]]
-            e = e[(d * d).sum(axis=1) <= limit * limit]
-        root = geometry.components(len(xy), *(e.T if len(e) else (np.zeros(0, int),) * 2))
-        count = np.bincount(root, minlength=len(xy))[root]
-        low = np.full(len(xy), np.iinfo(np.int64).max)
-        np.minimum.at(low, root[which], p["id"].to_numpy(np.int64))
-        comp = np.where(count > 1, low[root], 0)
-        return pd.DataFrame({"id": p["id"], "delaunay_component": comp[which], "delaunay_count": count[which]})
+    id, or 0 of a cell alone; the count is of distinct places. Cells at one place share a component.
 
-    ship(df.sparkSession)
-    found = df.select(*_XY).groupBy("sample_id").applyInPandas(run, "id long, delaunay_component long, delaunay_count long")
-    return df.join(found, "id")
+    No triangulation is made: cells within limit of each other are connected by edges of the triangulation no longer than that, since it
+    holds a minimum spanning tree, so the components are those of all pairs within limit.
+    """
+    places = cut(_squares(df.groupBy("sample_id", "x", "y").agg(F.min("id").alias("id")), limit))
+    linked = _linked(places, limit, closed=True)
+    sizes = places.groupBy(*_SQUARE).agg(F.count(F.lit(1)).alias("_n")).join(linked, _SQUARE)
+    counts = sizes.groupBy("root").agg(F.sum("_n").alias("delaunay_count"))
+    of = linked.join(counts, "root").select(*_SQUARE, F.when(F.col("delaunay_count") > 1, F.col("root")).otherwise(0).alias("delaunay_component"), "delaunay_count")
+    return _squares(df, limit).join(of, _SQUARE).select(*df.columns, "delaunay_component", "delaunay_count")
 
 
 def delaunay_edge_list(df: DataFrame, limit: float | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Null models and generators; all draw from hashes of ids or seeded streams, so they repeat whatever the partitions."""
+"""Null models and generators; all draw by ids and seeds, so they repeat whatever the partitions."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselum import model
+from tesselum.functions.draws import PRIME, draw
 from tesselum.functions.lineage import cut
 
 
@@ -21,19 +22,19 @@ def _numbered(df: DataFrame, order) -> DataFrame:
 
 def scramble(df: DataFrame, n_bits: int, seed: int = 0, *, whole: bool = False) -> DataFrame:
     """Permute pflag among the cells of a sample: each of the lowest n_bits by itself, or whole. Counts per bit stay."""
-    base = cut(_numbered(df, F.xxhash64("id", F.lit(seed))))
+    base = cut(_numbered(df, draw(F.col("id"), seed)))
     out = base.withColumn("pflag", F.lit(0).cast("long"))
     for b in [None] if whole else range(n_bits):
         value = F.col("pflag") if b is None else F.col("pflag").bitwiseAND(1 << b)
-        drawn = _numbered(df.select("sample_id", "id", value.alias("_v")), F.xxhash64("id", F.lit(seed + 1), F.lit(-1 if b is None else b))).select("sample_id", "_n", "_v")
+        drawn = _numbered(df.select("sample_id", "id", value.alias("_v")), draw(F.col("id"), seed + 1, -1 if b is None else b)).select("sample_id", "_n", "_v")
         out = out.join(drawn, ["sample_id", "_n"]).withColumn("pflag", F.col("pflag").bitwiseOR(F.col("_v"))).drop("_v")
     return out.select(*df.columns)
 
 
 def scatter(df: DataFrame, width: int, length: int, seed: int = 0) -> DataFrame:
     """x and y become uniform whole numbers of 0..width and 0..length."""
-    draw = lambda k, top: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(top + 1)).cast("double")
-    return df.withColumns({"x": draw(0, width), "y": draw(1, length)})
+    one = lambda k, top: (draw(F.col("id"), seed, k) % (top + 1)).cast("double")
+    return df.withColumns({"x": one(0, width), "y": one(1, length)})
 
 
 def hallucinate(df: DataFrame, header: model.Header, n: int, seed: int = 0) -> tuple[DataFrame, model.Header]:
@@ -41,7 +42,7 @@ def hallucinate(df: DataFrame, header: model.Header, n: int, seed: int = 0) -> t
     out = df.drop(*header.markers)
     names = [f"fake{i + 1}" for i in range(n)]
     out = out.withColumns({m: F.lit(0.0).cast("float") for m in names})
-    bit = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n))
+    bit = draw(F.col("id"), seed) % n
     out = out.withColumn("pflag", F.get(F.array(*[F.lit(1 << i) for i in range(n)]), bit.cast("int")).cast("long"))
     header = header.without(lambda t: t.kind != "MA")
     for m in names:
@@ -53,8 +54,8 @@ def synthesise(spark: SparkSession, clusters: int, points: int, width: float = 1
     """Gaussian clusters of cells around uniform centres, with one zero marker."""
     n = spark.range(clusters * points).withColumnRenamed("id", "cell_id")
     k = F.floor(F.col("cell_id") / points)
-    unit = lambda what, *by: (F.pmod(F.xxhash64(*by, F.lit(seed), F.lit(what)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    normal = lambda a, b: F.sqrt(-2 * F.log(unit(a, "cell_id"))) * F.cos(6.283185307179586 * unit(b, "cell_id"))
+    unit = lambda what, by: (draw(by, seed, what) + 0.5) / float(PRIME)
+    normal = lambda a, b: F.sqrt(-2 * F.log(unit(a, F.col("cell_id")))) * F.cos(6.283185307179586 * unit(b, F.col("cell_id")))
     cells = n.withColumns({"sample_id": F.lit(0).cast("long"), "x": unit(0, k) * width + sigma * normal(2, 3), "y": unit(1, k) * width + sigma * normal(4, 5)})
     cells = cells.withColumns({"id": model.pack(F.col("sample_id"), F.col("cell_id")), "cflag": F.lit(0).cast("long"), "pflag": F.lit(0).cast("long"), "marker1": F.lit(0.0).cast("float")})
     header = model.Header().add("HD", VN="1.0", MP="1", UN="micron").add("MA", ID="marker1", TY="f").program("synthesise")

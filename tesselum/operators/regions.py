@@ -16,8 +16,8 @@ def _c() -> Column:
 
 def _p() -> Column:
     return F.col("pflag")
-#: Regions that are broadcast at most; more are refused, as they are drawn by hand.
-MAX_REGIONS = 20_000
+#: Corners of regions that are broadcast, at most: some 32 MB; more are joined by sample.
+MAX_CORNERS = 1_000_000
 
 # Bits of the region flags beyond the standard ones.
 GLEASON = {"3+3": 12, "3+4": 13, "4+3": 14, "4+4": 15, "5+5": 16}
@@ -25,18 +25,17 @@ PNI, SEMINAL_VESICLE = 17, 18
 
 
 def _boxed(rois: DataFrame, order: str) -> DataFrame:
-    n = rois.count()
-    if n > MAX_REGIONS:
-        raise ValueError(f"{n} regions; at most {MAX_REGIONS} are supported")
     ends = {f"_{c}_{k}": f(F.expr(f"transform(verts, v -> v.{c})")) for c in "xy" for k, f in (("low", F.array_min), ("high", F.array_max))}
     return rois.withColumns(ends).withColumnRenamed("sample_id", "_roi_sample").withColumnRenamed(order, "_roi_order")
 
 
 def containing(df: DataFrame, rois: DataFrame, value: Column, order: str = "roi_id") -> DataFrame:
-    """df with _hits: the value of each region of the cell's sample that holds the cell, in order. The regions of a sample travel to its cells as one array."""
+    """df with _hits: the value of each region of the cell's sample that holds the cell, in order. The regions of a sample travel to its cells as one array,
+    broadcast while all have at most MAX_CORNERS corners."""
+    corners = rois.agg(F.sum(F.size("verts") + 8)).first()[0] or 0
     boxed = _boxed(rois, order).withColumn("_value", value)
     per = boxed.groupBy("_roi_sample").agg(F.sort_array(F.collect_list(F.struct("_roi_order", "verts", "_x_low", "_x_high", "_y_low", "_y_high", "_value"))).alias("_rois"))
-    out = df.join(F.broadcast(per), F.col("sample_id") == F.col("_roi_sample"), "left")
+    out = df.join(F.broadcast(per) if corners <= MAX_CORNERS else per, F.col("sample_id") == F.col("_roi_sample"), "left")
 
     def hit(r: Column) -> Column:
         box = F.col("x").between(r["_x_low"], r["_x_high"]) & F.col("y").between(r["_y_low"], r["_y_high"])
@@ -62,6 +61,10 @@ def flag_regions(df: DataFrame, rois: DataFrame, bit: int, *, name: str | None =
     return out.withColumn("cflag", F.when(F.size("_hits") > 0, bits.set_bits(base, mask)).otherwise(base)).drop("_hits")
 
 
+# What regions' names hold, in any place; the first letters are left out, as they may be capital.
+_NORMAL, _TUMOR, _CD3_ERROR, _PNI, _SEMINAL, _DROP = "ormal", "umor", "cd3panck_error", "PNI", "eminal", "blacklist|artifact|error"
+
+
 def apply_keywords(df: DataFrame, rois: DataFrame, *, cd3: int = 0, panck: int = 0) -> DataFrame:
     """Regions by keyword in their names, later ones over earlier: blacklists drop their cells (Artifact), normal tissue, tumour, the
     CD3 error (CD3 goes where PanCK is), Gleason grades, perineural invasion and seminal vesicles set their bits.
@@ -70,9 +73,9 @@ def apply_keywords(df: DataFrame, rois: DataFrame, *, cd3: int = 0, panck: int =
     """
     text = F.concat_ws(" ", "name", "text") if "text" in rois.columns else F.col("name")
     has = lambda *words: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
-    kind = F.when(F.lower(text).rlike("blacklist|artifact|error") & ~has("cd3panck_error"), "drop").when(has("ormal"), "normal").when(has("umor"), "tumor").when(has("cd3panck_error"), "cd3").otherwise("other")
+    kind = F.when(F.lower(text).rlike(_DROP) & ~has(_CD3_ERROR), "drop").when(has(_NORMAL), "normal").when(has(_TUMOR), "tumor").when(has(_CD3_ERROR), "cd3").otherwise("other")
     grade = F.lit(None).cast("int")
-    for word, b in reversed([*GLEASON.items(), ("PNI", PNI), ("eminal", SEMINAL_VESICLE)]):
+    for word, b in reversed([*GLEASON.items(), (_PNI, PNI), (_SEMINAL, SEMINAL_VESICLE)]):
         grade = F.when(has(word), b).otherwise(grade)
     out = containing(df, rois, F.struct(kind.alias("kind"), grade.alias("grade")))
     tumor, margin, manual, normal, artifact = model.TUMOR, model.MARGIN, model.TUMOR_MANUAL, model.NORMAL, model.ARTIFACT

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tesselum import model
 from tesselum.functions import bits
+from tesselum.functions.draws import PRIME, draw
 from tesselum.functions.lineage import cut
 
 def _c() -> Column:
@@ -195,15 +196,15 @@ def head(df: DataFrame, n: int) -> DataFrame:
 
 
 def subsample(df: DataFrame, rate: float, seed: int = 0) -> DataFrame:
-    """Each cell with probability rate, by a hash of id and seed: the same cells whatever the partitions."""
+    """Each cell with probability rate, drawn by id and seed: the same cells whatever the partitions."""
     if not 0 < rate <= 1:
         raise ValueError("rate must be above 0 and at most 1")
-    return df.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000_007)) <= int(rate * 1_000_000_007))
+    return df.where(draw(F.col("id"), seed) < int(rate * PRIME))
 
 
 def subsample_n(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n cells by hash, in the order of id."""
-    return df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n).orderBy("id")
+    """n cells, drawn by id and seed, in the order of id."""
+    return df.orderBy(draw(F.col("id"), seed), "id").limit(n).orderBy("id")
 
 
 def concat(*parts: DataFrame) -> DataFrame:
@@ -231,12 +232,35 @@ def renumber(df: DataFrame) -> DataFrame:
     return out.withColumn("id", model.pack(F.col("sample_id"), F.col("cell_id"))).select(*df.columns)
 
 
+def check(df: DataFrame, header: model.Header) -> DataFrame:
+    """df as it is, if the header is valid and describes it; reading it fails on a row that lacks an id, a place or a register."""
+    problems = header.check() + [f"no column {t.id}" for t in header.data if t.id not in df.columns] + [f"no column {c}" for c in model.FIXED if c not in df.columns]
+    if problems:
+        raise ValueError("; ".join(problems))
+    whole = reduce(and_, [F.col(c).isNotNull() for c in model.FIXED])
+    return df.where(F.assert_true(whole, F.lit("a cell lacks an id, a place or a register")).isNull())
+
+
+def replace_fixed(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """df with x, y, id, pflag or cflag from values (key, value), a row for each cell's id; a cell without one, or two, is an error."""
+    if column not in model.FIXED:
+        raise ValueError(f"{column} is none of {', '.join(model.FIXED)}")
+    one = values.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.first("value").alias("_value"))
+    out = df.join(one, df["id"] == one["key"], "left")
+    fits = F.assert_true(F.coalesce(F.col("_n") == 1, F.lit(False)), F.lit("the new column's size is not the table's")).isNull()
+    return out.where(fits).withColumn(column, F.col("_value").cast(df.schema[column].dataType)).select(*df.columns)
+
+
 def check_unmarked(df: DataFrame) -> DataFrame:
     """df; reading it fails on a marked cell."""
     ok = F.assert_true(bits.has_none(_c(), model.MARK), F.lit("a cell is marked")).isNull()
     return df.where(ok)
 
 
+#: Values of a categorical column, at most; their names are part of the header.
+MAX_LEVELS = 1_000_000
+
+
 def set_type(df: DataFrame, header: model.Header, column: str, code: str) -> tuple[DataFrame, model.Header]:
     """Cast a data column. A makes it categorical: its distinct rounded values, ascending, become levels, and the column their index."""
     if code not in ("f", "d", "i", "I", "l", "L", "A"):
@@ -245,12 +269,15 @@ def set_type(df: DataFrame, header: model.Header, column: str, code: str) -> tup
     if code != "A":
         whole = F.round(column) if code in "iIlL" else F.col(column)
         return df.withColumn(column, whole.cast(model.TYPES[code])), header.add(tag.kind, ID=column, TY=code)
-    levels = df.select(F.round(column).cast("long").alias("level")).distinct()
-    # levels of one column are few; their text goes to the header
-    found = [r[0] for r in levels.where("level is not null").orderBy("level").collect()]
+    levels = df.select(F.round(column).cast("long").alias("level")).where("level is not null").distinct().limit(MAX_LEVELS + 1)
+    # the levels' text goes to the header, which is held on the driver and written whole
+    found = sorted(r[0] for r in levels.collect())
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"{column} has over {MAX_LEVELS} values: no categories")
     ranked = df.sparkSession.createDataFrame(list(enumerate(found)), "_index int, _level long") if found else None
     if ranked is None:
         return df, header.add(tag.kind, ID=column, TY="A", LV="")
+    # at most MAX_LEVELS rows of 12 bytes
     out = df.join(F.broadcast(ranked), F.round(F.col(column)).cast("long") == F.col("_level"), "left")
     out = out.withColumn(column, F.coalesce("_index", F.lit(0))).drop("_index", "_level")
     return out.select(*df.columns), header.add(tag.kind, ID=column, TY="A", LV=",".join(map(str, found)))

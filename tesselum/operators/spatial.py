@@ -46,11 +46,11 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, keep: Sequence
     return out if how == "left_semi" else out.withColumn("d2", dx * dx + dy * dy).drop("n_sample", "n_gx", "n_gy", "n_x", "n_y")
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int, keep: Sequence[str] = (), include_self: bool = False) -> DataFrame:
-    """(id, n_id, d2, rank, n_<c>...): for each query its k nearest points of the same sample, ties by id.
+def knn_join(queries: DataFrame, points: DataFrame, k: int, keep: Sequence[str] = (), include_self: bool = False, within: float = math.inf) -> DataFrame:
+    """(id, n_id, d2, rank, n_<c>...): for each query its k nearest points of the same sample, ties by id; only those no farther than `within`.
 
     Each round looks at the nine squares around a query. A query is done when its k-th neighbour is no farther than a square is wide,
-    for then no point outside can be nearer; the others go on with squares twice as wide, and in the end with all of the sample.
+    for then no point outside can be nearer; the others go on with squares twice as wide, until these are as wide as `within` or the sample.
     """
     size = points.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count_distinct("sample_id")).first()
     span = queries.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
@@ -63,6 +63,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, keep: Sequence[str]
     extent = max(max(size[2], span[1]) - min(size[1], span[0]), max(size[4], span[3]) - min(size[3], span[2]), 1e-9)
     area = max((size[2] - size[1]) * (size[4] - size[3]), (extent * 1e-3) ** 2)
     width = math.sqrt(area * size[5] * (k + 1) / size[0]) * 0.8
+    width, extent = min(width, within), min(extent, within * (1 - 1e-12))
     rest, done = queries.select(*cols), []
     order = Window.partitionBy("id").orderBy("d2", "n_id")
     while True:
@@ -73,7 +74,9 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, keep: Sequence[str]
         cond = (F.col("sample_id") == F.col("n_sample")) & (F.col("_gx") == F.col("n_gx")) & (F.col("_gy") == F.col("n_gy"))
         # many pairs come of few cells: deal them out by square even where one side could be broadcast to the tasks of a small scan
         pairs = a.join(b.hint("merge"), cond if include_self else cond & (F.col("id") != F.col("n_id")))
-        ranked = pairs.withColumn("d2", dx * dx + dy * dy).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*schema)
+        pairs = pairs.withColumn("d2", dx * dx + dy * dy)
+        pairs = pairs if math.isinf(within) else pairs.where(F.col("d2") <= within * within)
+        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*schema)
         if last:
             return reduce(DataFrame.unionByName, [*done, ranked])
         ranked = cut(ranked)
@@ -82,7 +85,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, keep: Sequence[str]
         rest = cut(rest.join(full, "id", "left_anti"), forget=True)
         if rest.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        width *= 2
+        width = min(2 * width, within)
 
 
 def _clear_mark(df: DataFrame) -> DataFrame:
@@ -117,7 +120,7 @@ def distance_to_marked(df: DataFrame, name: str) -> DataFrame:
 
 def annotate(df: DataFrame, flag: int, k: int = 25, fraction: float = 0.5, distance: float = 100_000) -> DataFrame:
     """The flag on cells of whose k nearest others, those within distance, at least the fraction is marked; Mark goes."""
-    near = knn_join(df, df, k, ["cflag"]).where(F.col("d2") <= distance * distance)
+    near = knn_join(df, df, k, ["cflag"], within=distance)
     share = near.groupBy("id").agg(F.avg(F.when(bits.has_any(F.col("n_cflag"), model.MARK), 1.0).otherwise(0.0)).alias("_share"))
     out = df.join(share, "id", "left")
     return _clear_mark(out.withColumn("cflag", F.when(F.col("_share") >= fraction, bits.set_bits(_c(), flag)).otherwise(_c()))).select(*df.columns)

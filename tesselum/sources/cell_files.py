@@ -2,24 +2,29 @@
 
 Text: header lines that begin with "@", then tab-separated records. Binary: magic, version, layout flags, the same header text, type
 codes, records, end marker; little-endian; as blocks of at most 65,280 bytes, each a gzip member that tells its length,
-closed by an empty block. A file is one sample's or slide's; folders of files are read in parallel, a file per task.
+closed by an empty block. A file is one sample's or slide's; folders of files are written and read in parallel, a file per task, record by record:
+memory doesn't follow the file.
 """
 
 from __future__ import annotations
 
+import io
 import math
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselum import model
-from tesselum.functions.lineage import ship
+from tesselum.functions.lineage import cut, ship
 from tesselum.sources.csv_cells import schema
 
 # Fixed values of the format.
@@ -104,7 +109,9 @@ def _pack(code: str, value) -> bytes:
 def _unpack(code: str, data: bytes, at: int):
     if code == "Z":
         (n,) = struct.unpack_from("<I", data, at)
-        return data[at + 4 : at + 4 + n].decode(), at + 4 + n
+        if at + 4 + n > len(data):
+            raise IndexError("the text is cut short")
+        return bytes(data[at + 4 : at + 4 + n]).decode(), at + 4 + n
     if code == "B":
         kind, (n,) = chr(data[at]), struct.unpack_from("<I", data, at + 1)
         a = np.frombuffer(data, _WIDE[kind], n, at + 5)
@@ -121,23 +128,26 @@ def shortest(value: float) -> str:
 # ------------------------------------------------------------------ whole files
 
 
+def _text_record(codes: list[str], record: Record) -> bytes:
+    id_, x, y, c, p, *data = record
+    cells = [str(_u64(id_)), shortest(x), shortest(y), str(_u64(c)), str(_u64(p))]
+    for code, v in zip(codes, data, strict=True):
+        if code == "f":
+            cells.append(shortest(math.nan if v is None else v))
+        elif code == "d":
+            cells.append(repr(float(math.nan if v is None else v)))
+        elif code == "Z":
+            cells.append(model.escape(v or ""))
+        elif code == "B":
+            cells.append("l:" + ",".join(map(str, v)) if v is not None and len(v) else "")
+        else:
+            cells.append(str(_u64(int(v or 0)) if code == "L" else int(v or 0)))
+    return ("\t".join(cells) + "\n").encode()
+
+
 def to_text(header: model.Header, rows: Iterable[Record]) -> bytes:
-    out, codes = [header.text()], _codes(header)
-    for id_, x, y, c, p, *data in rows:
-        cells = [str(_u64(id_)), shortest(x), shortest(y), str(_u64(c)), str(_u64(p))]
-        for code, v in zip(codes, data, strict=True):
-            if code == "f":
-                cells.append(shortest(math.nan if v is None else v))
-            elif code == "d":
-                cells.append(repr(float(math.nan if v is None else v)))
-            elif code == "Z":
-                cells.append(model.escape(v or ""))
-            elif code == "B":
-                cells.append("l:" + ",".join(map(str, v)) if v else "")
-            else:
-                cells.append(str(_u64(int(v or 0)) if code == "L" else int(v or 0)))
-        out.append("\t".join(cells) + "\n")
-    return "".join(out).encode()
+    codes = _codes(header)
+    return header.text().encode() + b"".join(_text_record(codes, r) for r in rows)
 
 
 def _parse(code: str, s: str, levels: dict[str, int]):
@@ -177,14 +187,53 @@ def preamble(header: model.Header, capacity: int = 0) -> bytes:
     return MAGIC + struct.pack("<HHI", VERSION, ROOMY, len(text)) + text + struct.pack("<I", len(codes)) + codes
 
 
+def _binary_record(codes: list[str], record: Record) -> bytes:
+    id_, x, y, c, p, *data = record
+    if struct.pack("<Q", _u64(id_)) == END:
+        raise ValueError("this id is reserved for the end marker")
+    return struct.pack("<QffQQ", _u64(id_), x, y, _u64(c), _u64(p)) + b"".join(map(_pack, codes, data))
+
+
 def to_binary(header: model.Header, rows: Iterable[Record]) -> bytes:
     """The blocked binary form; records begin in a block of their own, so that the header can be replaced."""
-    codes, out = _codes(header), []
-    for id_, x, y, c, p, *data in rows:
-        if struct.pack("<Q", _u64(id_)) == END:
-            raise ValueError("this id is reserved for the end marker")
-        out.append(struct.pack("<QffQQ", _u64(id_), x, y, _u64(c), _u64(p)) + b"".join(map(_pack, codes, data)))
-    return blocks(preamble(header)) + blocks(b"".join(out) + END) + EMPTY_BLOCK
+    codes = _codes(header)
+    return blocks(preamble(header)) + blocks(b"".join(_binary_record(codes, r) for r in rows) + END) + EMPTY_BLOCK
+
+
+class Writer:
+    """A cell file in the making, under another name until it is whole."""
+
+    def __init__(self, path: str, header: model.Header):
+        self.fs, self.path = _opened(path)
+        self.part = f"{self.path}.{uuid.uuid4().hex}.part"
+        self.text, self.codes, self.wait, self.n = form_of(path) == "text", _codes(header), bytearray(), 0
+        self.out = self.fs.open_output_stream(self.part)
+        self.out.write(header.text().encode() if self.text else blocks(preamble(header)))
+
+    def add(self, record: Record) -> None:
+        self.wait += (_text_record if self.text else _binary_record)(self.codes, record)
+        self.n += 1
+        if len(self.wait) >= 16 * BLOCK:
+            whole = len(self.wait) // BLOCK * BLOCK
+            self._flush(bytes(self.wait[:whole]))
+            del self.wait[:whole]
+
+    def _flush(self, data: bytes) -> None:
+        self.out.write(data if self.text else blocks(data))
+
+    def close(self) -> None:
+        self._flush(bytes(self.wait) + (b"" if self.text else END))
+        if not self.text:
+            self.out.write(EMPTY_BLOCK)
+        self.out.close()
+        self.fs.move(self.part, self.path)
+
+
+def _opened(path: str):
+    """The file system and the path in it, of a URI or a local path."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.replace("file:", "file://", 1)
+    return pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
 def _preamble_of(data: bytes) -> tuple[model.Header, int]:
@@ -264,45 +313,168 @@ def form_of(path: str) -> str:
     return "text" if path.endswith(".cyf") else "binary"
 
 
+def _chunks(f) -> Iterator[bytes]:
+    """What a file holds, blocked or not, in pieces."""
+    first = f.read(2)
+    if first != b"\x1f\x8b":
+        while first:
+            yield first
+            first = f.read(1 << 20)
+        return
+    head, out = first + f.read(16), []
+    while head:
+        if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
+            raise Truncated("no block begins here")
+        size = struct.unpack_from("<H", head, 16)[0] + 1
+        body = f.read(size - 18)
+        if len(body) < size - 18:
+            raise Truncated("the last block is cut short")
+        out.append(zlib.decompress(body[:-8], -15))
+        if sum(map(len, out)) >= 1 << 20:
+            yield b"".join(out)
+            out = []
+        head = f.read(18)
+    yield b"".join(out)
+
+
+def streamed(f) -> tuple[model.Header, Iterator[Record]]:
+    """The header of an open file and its records, of which few are held at once."""
+    chunks = _chunks(f)
+    data = b""
+    for part in chunks:
+        data += part
+        if form(data) == "text":
+            if re.search(rb"\n[^@]", data):  # a record begins
+                break
+        else:
+            try:
+                header, at = _preamble_of(data)
+                return header, _records(header, data[at:], chunks)
+            except (struct.error, Truncated, IndexError):
+                continue
+            except ValueError:
+                if len(data) >= 12 and len(data) < 20 + struct.unpack_from("<I", data, 8)[0]:
+                    continue
+                raise
+    if not data or form(data) != "text":
+        raise Truncated("the header is cut short")
+    begins = re.search(rb"\n(?!@)", data)
+    head = data[: begins.end()] if begins else data
+    header = model.Header.parse(head.decode())
+
+    def lines() -> Iterator[Record]:
+        rest = data[len(head) :]
+        for part in chunks:
+            whole, _, last = rest.rpartition(b"\n")
+            yield from from_text(head + whole)[1]
+            rest = last + part
+        yield from from_text(head + rest)[1]
+
+    return header, lines()
+
+
+def _records(header: model.Header, data: bytes, chunks: Iterator[bytes]) -> Iterator[Record]:
+    codes, at = _codes(header), 0
+    while True:
+        try:
+            if data[at : at + 8] == END:
+                return
+            id_, x, y, c, p = struct.unpack_from("<QffQQ", data, at)
+            end, values = at + 32, []
+            for code in codes:
+                v, end = _unpack(code, data, end)
+                values.append(v)
+        except (struct.error, IndexError, ValueError) as e:
+            part = next(chunks, b"")
+            if not part:
+                raise Truncated("the file ends without its end marker") from e
+            data, at = data[at:] + part, 0
+            continue
+        at = end
+        yield (_s64(id_), x, y, _s64(c), _s64(p), *values)
+
+
 # ------------------------------------------------------------------ Spark
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, model.Header]:
-    """The cells of one file, or of a folder or pattern of files with the same columns, and the header of the first."""
+    """The cells of one file, or of a folder or pattern of files with the same columns, and the header of the first.
+
+    A task reads a file's records one after the other from where it lies; where Python can't open it, from its bytes as Spark reads them.
+    """
     ship(spark)
     files = spark.read.format("binaryFile").load(path)
-    header_of = F.udf(lambda b: decode(bytes(b))[0].text(), "string")
-    first = files.orderBy("path").limit(1).select(header_of("content")).first()
+    first = files.select("path").orderBy("path").first()
     if first is None:
         raise ValueError(f"no file at {path}")
-    header = model.Header.parse(first[0])
+    try:
+        fs, where = _opened(first[0])
+        with fs.open_input_stream(where) as f:
+            header = streamed(f)[0]
+        files, column = files.select("path"), "path"
+    except (OSError, pyarrow.ArrowInvalid, pyarrow.ArrowNotImplementedError):
+        header_of = F.udf(lambda b: streamed(io.BytesIO(bytes(b)))[0].text(), "string")
+        header = model.Header.parse(files.where(F.col("path") == first[0]).select(header_of("content")).first()[0])
+        files, column = files.select("content"), "content"
     want, names = _codes(header), [*model.FIXED, *[t.id for t in header.data]]
 
+    def opened(value):
+        if column == "content":
+            return io.BytesIO(bytes(value))
+        fs, where = _opened(value)
+        return fs.open_input_stream(where)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for content in b["content"]:
-                h, rows = decode(bytes(content))
-                if _codes(h) != want or [t.id for t in h.data] != names[5:]:
-                    raise ValueError("files with different columns can't be read as one table")
-                part: list[Record] = []
-                for r in rows:
-                    part.append(r)
-                    if len(part) == 50_000:
-                        yield pd.DataFrame(part, columns=names)
-                        part = []
-                yield pd.DataFrame(part, columns=names)
-
-    df = files.select("content").mapInPandas(run, schema(header))
+            for value in b[column]:
+                with opened(value) as f:
+                    h, rows = streamed(f)
+                    if _codes(h) != want or [t.id for t in h.data] != names[5:]:
+                        raise ValueError("files with different columns can't be read as one table")
+                    part: list[Record] = []
+                    for r in rows:
+                        part.append(r)
+                        if len(part) == 20_000:
+                            yield pd.DataFrame(part, columns=names)
+                            part = []
+                    yield pd.DataFrame(part, columns=names)
+
+    df = files.mapInPandas(run, schema(header))
     return df.withColumns({"sample_id": model.sample_of(F.col("id")), "cell_id": model.cell_of(F.col("id"))}), header
 
 
 def write(df: DataFrame, header: model.Header, path: str) -> None:
-    """One file, in the form that its name asks for. The rows pass the driver one by one: a cell file is one sample's exchange format, tables are Parquet."""
-    rows = header.select(df).toLocalIterator()
-    data = to_text(header, map(tuple, rows)) if form_of(path) == "text" else to_binary(header, map(tuple, rows))
-    fs, where = pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    with fs.open_output_stream(where) as f:
-        f.write(data)
+    """One file, in the form that its name asks for, in the order of the rows, which pass the driver one by one. For tables of several samples see write_samples."""
+    out = Writer(path, header)
+    for r in header.select(df).toLocalIterator():
+        out.add(tuple(r))
+    out.close()
+
+
+def write_samples(df: DataFrame, header: model.Header, folder: str, ending: str = ".byf") -> DataFrame:
+    """A file per sample below the folder, in the order of id, each written by one task; returns (path, cells), written once."""
+    ship(df.sparkSession)
+    fs, root = _opened(folder)
+    fs.create_dir(root, recursive=True)
+    names = header.select(df).columns
+    rows = df.select("sample_id", *names).repartition("sample_id").sortWithinPartitions("sample_id", "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, out, done = None, None, []
+        for b in batches:
+            for sample, *record in b.itertuples(index=False, name=None):
+                if out is None or sample != now:
+                    if out:
+                        out.close()
+                        done.append((out.path, out.n))
+                    now, out = sample, Writer(f"{folder}/{sample}{ending}", header)
+                out.add(tuple(record))
+        if out:
+            out.close()
+            done.append((out.path, out.n))
+        yield pd.DataFrame(done, columns=["path", "cells"])
+
+    return cut(rows.mapInPandas(run, "path string, cells long"))
 
 
 def pack(df: DataFrame, header: model.Header, rois: list[tuple[str, str, list[tuple[float, float]]]] = ()) -> bytes:

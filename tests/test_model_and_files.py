@@ -176,3 +176,54 @@ def test_cohort_categories_add_up(spark):
     assert sum(x["n"] for x in doc["flag_histogram"]) == sum(x["n"] for x in doc["catcols"][0]["histogram"]) == 20
     with pytest.raises(ValueError, match="MP"):
         cohort.cohort_json(df, model.Header())
+
+
+def test_files_are_streamed_in_pieces(tmp_path):
+    """Records across the borders of blocks and pieces, headers alone, and files that are cut short."""
+    import io
+
+    rows = [(k, 1.5, 2.5, 3, 4, 0.25, k, "x" * (k % 300), k % 3, list(range(k % 7))) for k in range(30_000)]
+    for name in ("a.cyf", "b.byf"):
+        out = f.Writer(f"{tmp_path}/{name}", TYPED)
+        for r in rows:
+            out.add(r)
+        out.close()
+        data = (tmp_path / name).read_bytes()
+        header, got = f.streamed(io.BytesIO(data))
+        assert header.text() == TYPED.text() and [tuple(r) for r in got] == rows
+        assert list(f.decode(data)[1]) == rows
+        if name == "b.byf":
+            with pytest.raises(f.Truncated):
+                list(f.streamed(io.BytesIO(data[: len(data) // 2]))[1])
+    for empty in (f.to_text(TYPED, []), f.to_binary(TYPED, [])):
+        header, got = f.streamed(io.BytesIO(empty))
+        assert header.text() == TYPED.text() and list(got) == []
+    with pytest.raises(ValueError):
+        f.streamed(io.BytesIO(b"neither"))
+
+
+def test_whole_samples_by_tasks(spark, tmp_path):
+    df = spark.createDataFrame([(s << 32 | k, s, float(k), 0.0, 0, 0, 1.5) for s in range(5) for k in range(20)], "id long, sample_id long, x float, y float, cflag long, pflag long, m float").repartition(7)
+    h = model.Header().add("MA", ID="m", TY="f")
+    written = f.write_samples(df, h, f"{tmp_path}/w", ".cyf").collect()
+    assert sorted((r["path"].rsplit("/", 1)[1], r["cells"]) for r in written) == [(f"{s}.cyf", 20) for s in range(5)]
+    back, header = f.read(spark, f"file://{tmp_path}/w/*.cyf")
+    assert header.text() == h.text() and sorted(r["id"] for r in back.collect()) == sorted(r["id"] for r in df.collect())
+
+
+def test_checks_and_replaced_columns(spark):
+    from tesselum.operators import rows
+
+    h = model.Header().add("HD", MP="1", UN="micron").add("MA", ID="m", TY="f")
+    df = spark.createDataFrame([(1, 2.0, 3.0, 0, 0, 5.0), (2, 2.0, None, 0, 0, 5.0)], "id long, x double, y double, cflag long, pflag long, m float")
+    assert rows.check(df.where("y is not null"), h).count() == 1
+    with pytest.raises(Exception, match="lacks"):
+        rows.check(df, h).collect()
+    with pytest.raises(ValueError, match="no column m"):
+        rows.check(df.drop("m"), h)
+    new = spark.createDataFrame([(1, 7.0), (2, 8.0)], "key long, value double")
+    assert [r["x"] for r in rows.replace_fixed(df, "x", new).orderBy("id").collect()] == [7.0, 8.0]
+    with pytest.raises(Exception, match="size"):
+        rows.replace_fixed(df, "x", new.limit(1)).collect()
+    with pytest.raises(ValueError, match="none of"):
+        rows.replace_fixed(df, "m", new)
