@@ -7,7 +7,7 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselum.functions.lineage import cut, shared_dir, ship
+from tesselum.functions.lineage import cut, remove, shared_dir, ship
 
 __all__ = ["LOWER", "UPPER", "WHITE", "bind", "cut", "free", "fresh", "join_split", "lower_ascii", "once", "remove", "shared_dir", "ship", "table", "words"]
 
@@ -76,9 +76,3 @@ def free(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files and checkpoints that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    """Delete a folder, wherever Spark can reach it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
