@@ -179,3 +179,26 @@ def test_rows_run_on_streams(spark, tmp_path):
     q = cells.each_batch(stream, lambda b: spatial.margin(b, 100), f"{tmp_path}/m", f"{tmp_path}/mc")
     q.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/m").count() == 20
+
+
+@pytest.mark.parametrize("local", [500_000, 0, 30])
+def test_components_by_one_task_and_by_stars(spark, monkeypatch, local):
+    import random
+
+    from tesselum.operators import components as m
+
+    monkeypatch.setattr(m, "LOCAL", local)
+    r = random.Random(3)
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(30)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(7, 7), (-5, 3), (9, 8)]
+    root = {}
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in root if find(x) != x}
+    got = m.components(spark.createDataFrame(edges + edges[:9], "u long, v long").repartition(5))
+    assert {x["node"]: x["root"] for x in got.collect()} == want
+    assert m.components(spark.createDataFrame([], "u long, v long")).count() == 0
