@@ -19,13 +19,13 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesselum.llm.common import cut, free, fresh, join_split, ship, table
@@ -44,7 +44,7 @@ FEW = 8
 #: Texts that are broadcast by their hash, at most.
 BROADCAST = 1_000_000
 #: Partners of one text that are compared in one task, about.
-LEAVES = 500
+LEAVES = 64
 _PAIRS = 1 << 20  # compared at once
 _BYTES = 8 << 20  # of record batches that are sent at once, about
 _SMALL = 64  # pairs of keys in a pair of nodes that are compared at once
@@ -507,24 +507,48 @@ def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def rest(nodes: DataFrame, roots: Callable[[], DataFrame]) -> Iterator[DataFrame]:
-    """Pairs (u, v) of marks of unlike components that share a band of minima, in two rounds; at most FEW for each text and band.
+def _unlike(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (u, v) of unlike components. known: (node, root)."""
+    few = known.count() <= BROADCAST
+    for side in "uv":
+        of = known.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+        pairs = pairs.join(F.broadcast(of), side, "left") if few else join_split(pairs, of, side)
+    return pairs.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+
+
+def completed(found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links found with those of all texts that share a band of minima and aren't in one component. nodes: mark, bands and sketch; texts: mark and _text.
 
-    nodes: mark and bands. roots: called for each round, the (node, root) so far. The first round pairs texts with one that stands for its band,
-    so that large components are together when the second takes others.
+    First each text meets one other, the least of all that are first in one of its bands, so that large groups are together with a pair for each
+    text. What is left is taken a few pairs of a text at a time, twice as many in each round, until none of unlike components is left.
     """
     spark = nodes.sparkSession
     keys = nodes.select(F.explode("bands").alias("h"), F.col("mark").alias("node")).repartition("h").sortWithinPartitions("h", "node")
     shared = cut(keys.mapInArrow(lambda batches: _whole(batches, "h", _repeated), "h long, node long"))
     free(spark)
-    for more in (False, True):
-        known = roots()
+
+    def met(more: bool) -> DataFrame:
+        known = components(found)
         few = known.count() <= BROADCAST
         # a broadcast leaves the rows where and as they are: those of a band together
         rooted = shared.join(F.broadcast(known) if few else known, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
         if not few:
             rooted = rooted.repartition("h").sortWithinPartitions("h")
-        yield rooted.mapInArrow(lambda batches, more=more: _whole(batches, "h", lambda t: _met(t, more)), "u long, v long")
+        return rooted.mapInArrow(lambda batches: _whole(batches, "h", lambda t: _met(t, more)), "u long, v long")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        out = cut(found.union(similar(promising(pairs, nodes), texts)))
+        free(spark)
+        return out
+
+    found = checked(met(False).groupBy("u").agg(F.min("v").alias("v")))
+    left, most = cut(met(True).distinct()), 2
+    while not left.isEmpty():
+        # of a text at most FEW pairs for each band
+        ranked = left.withColumn("_k", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v"), "v")))
+        found = checked(ranked.where(F.col("_k") <= most).select("u", "v"))
+        left, most = cut(_unlike(ranked.where(F.col("_k") > most).select("u", "v"), components(found))), 2 * most
+    return found
 
 
 def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -564,11 +588,9 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     # a node per distinct text, so that texts that share an id stay apart
     least = cut(made.groupBy("mark").agg(F.min("doc").alias("low"), *[F.first(c, ignorenulls=True).alias(c) for c in features]))
     free(spark)
-    texts, sketches = marked.select("mark", "_text"), least.select("mark", "sketch")
-    found = similar(promising(links(least.select(F.col("mark").alias("node"), "fp", "wide"), STAGE_BUDGET, wide_budget=STAGE_WIDE), sketches), texts)
-    for pairs in rest(least, lambda: components(found)):
-        found = cut(found.union(similar(promising(pairs, sketches), texts)))
-        free(spark)
+    texts = marked.select("mark", "_text")
+    found = similar(promising(links(least.select(F.col("mark").alias("node"), "fp", "wide"), STAGE_BUDGET, wide_budget=STAGE_WIDE), least), texts)
+    found = completed(found, least, texts)
     roots = components(found).withColumnRenamed("node", "mark")
     of = cut(least.select("mark", "low").join(roots, "mark", "left").select("mark", "low", F.coalesce("root", "mark").alias("root")))
     # the smallest doc_id stands for the component; one without any, its first text
