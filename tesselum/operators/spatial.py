@@ -46,11 +46,35 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, keep: Sequence
     return out if how == "left_semi" else out.withColumn("d2", dx * dx + dy * dy).drop("n_sample", "n_gx", "n_gy", "n_x", "n_y")
 
 
+#: Points of a square, per neighbour sought, beyond which its queries begin with narrower squares.
+CROWD = 32
+
+
+def _levels(queries: DataFrame, points: DataFrame, width: float, crowd: int) -> list[tuple[float, DataFrame]]:
+    """(width, queries) that begin with squares of this width, from the widest: half as wide where a square holds over `crowd` points, and so on
+    down to where points at one place can't be told apart."""
+    key, out, seen = ["sample_id", "_gx", "_gy"], [], [math.inf] * 3
+    while True:
+        counts = _square(points, width, False).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+        most = counts.agg(F.max("_n")).first()[0] or 0
+        seen.append(most)
+        # three halvings that leave a square as full as it was: its points are at one place
+        if most <= crowd or most > 0.9 * seen[-4]:
+            return [*out, (width, queries)]
+        dense = cut(counts.where(F.col("_n") > crowd).select(*key))
+        placed = _square(queries, width, False)
+        out.append((width, cut(placed.join(dense, key, "left_anti").drop("_gx", "_gy"))))
+        queries = cut(placed.join(dense, key, "left_semi").drop("_gx", "_gy"))
+        points = cut(_square(points, width, False).join(dense, key, "left_semi").drop("_gx", "_gy"))
+        width /= 2
+
+
 def knn_join(queries: DataFrame, points: DataFrame, k: int, keep: Sequence[str] = (), include_self: bool = False, within: float = math.inf) -> DataFrame:
     """(id, n_id, d2, rank, n_<c>...): for each query its k nearest points of the same sample, ties by id; only those no farther than `within`.
 
     Each round looks at the nine squares around a query. A query is done when its k-th neighbour is no farther than a square is wide,
-    for then no point outside can be nearer; the others go on with squares twice as wide, until these are as wide as `within` or the sample.
+    for then no point outside can be nearer; the others go on with squares twice as wide, until these are as wide as `within` or the sample. The first
+    width follows the mean density; queries in squares that hold far more points begin with narrower ones, so that dense clumps make no more candidates.
     """
     size = points.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count_distinct("sample_id")).first()
     span = queries.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
@@ -64,7 +88,8 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, keep: Sequence[str]
     area = max((size[2] - size[1]) * (size[4] - size[3]), (extent * 1e-3) ** 2)
     width = math.sqrt(area * size[5] * (k + 1) / size[0]) * 0.8
     width, extent = min(width, within), min(extent, within * (1 - 1e-12))
-    rest, done = queries.select(*cols), []
+    levels = _levels(queries.select(*cols), points.select("sample_id", "x", "y"), width, CROWD * (k + 1))
+    (width, rest), done = levels.pop(), []
     order = Window.partitionBy("id").orderBy("d2", "n_id")
     while True:
         last = width > extent
@@ -82,10 +107,14 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, keep: Sequence[str]
         ranked = cut(ranked)
         full = ranked.where((F.col("rank") == k) & (F.col("d2") <= width * width)).select("id")
         done.append(ranked.join(full, "id", "left_semi"))
-        rest = cut(rest.join(full, "id", "left_anti"), forget=True)
-        if rest.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+        rest = rest.join(full, "id", "left_anti")
         width = min(2 * width, within)
+        if levels:
+            width, more = levels.pop()
+            rest = rest.unionByName(more)
+        rest = cut(rest, forget=True)
+        if rest.isEmpty() and not levels:
+            return reduce(DataFrame.unionByName, done)
 
 
 def _clear_mark(df: DataFrame) -> DataFrame:

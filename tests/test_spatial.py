@@ -202,3 +202,22 @@ def test_components_by_one_task_and_by_stars(spark, monkeypatch, local):
     got = m.components(spark.createDataFrame(edges + edges[:9], "u long, v long").repartition(5))
     assert {x["node"]: x["root"] for x in got.collect()} == want
     assert m.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_knn_in_clumps_and_at_one_place(spark, monkeypatch):
+    """Dense clumps, many points at one place, and stragglers: the neighbours are the nearest, whatever squares their queries begin with."""
+    from tesselum.operators import spatial as m
+
+    r = np.random.default_rng(2)
+    xy = np.concatenate([r.normal(0, 1, (150, 2)), r.normal(500, 0.01, (150, 2)), np.full((60, 2), 70.0), r.random((20, 2)) * 4000]).round(6)
+    ids = [int(i) + 1 for i in range(len(xy))]
+    df = spark.createDataFrame([(i, i % 2, i, float(a), float(b), 0, 0) for i, (a, b) in zip(ids, xy, strict=True)], SCHEMA)
+    want = set()
+    for i, p in zip(ids, xy, strict=True):
+        near = sorted(((p - q) @ (p - q), j) for j, q in zip(ids, xy, strict=True) if j != i and j % 2 == i % 2)[:4]
+        want |= {(i, j, k + 1) for k, (_, j) in enumerate(near)}
+    for crowd in (32, 2):
+        monkeypatch.setattr(m, "CROWD", crowd)
+        assert {(x["id"], x["n_id"], x["rank"]) for x in m.knn_join(df, df, 4).collect()} == want
+        near = m.knn_join(df, df, 4, within=0.5).collect()
+        assert {(x["id"], x["n_id"]) for x in near} == {(i, j) for i, j, _ in want if (d := xy[i - 1] - xy[j - 1]) @ d <= 0.25}
