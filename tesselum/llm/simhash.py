@@ -471,11 +471,11 @@ def similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     The set of v goes to a task once for each some LEAVES of its partners, theirs once for each pair; nothing else moves. Of copies a task sends one.
     """
     spark = rows.sparkSession
-    pairs = cut(pairs.distinct())
-    dealt = cut(_parts(pairs, "v", "u", LEAVES, "part"))
+    pairs = cut(pairs.distinct(), forget=True)
+    dealt = cut(_parts(pairs, "v", "u", LEAVES, "part"), forget=True)
     role = lambda leaf: F.struct(F.col("v").alias("hub"), F.col("part"), F.lit(leaf).alias("leaf")).alias("role")
     roles = dealt.select(F.col("u").alias("mark"), role(1)).union(dealt.select(F.col("v").alias("mark"), role(0)).distinct())
-    wanted = cut(_parts(roles, "mark", "role", LEAVES, "some").groupBy("mark", "some").agg(F.collect_list("role").alias("roles")))
+    wanted = cut(_parts(roles, "mark", "role", LEAVES, "some").groupBy("mark", "some").agg(F.collect_list("role").alias("roles")), forget=True)
     few = wanted.agg(F.sum(F.size("roles") + 1)).first()[0] or 0
     texts = (rows.join(F.broadcast(wanted), "mark") if few <= BROADCAST else join_split(rows, wanted, "mark", "inner")).select("mark", "some", F.to_json("roles").alias("roles"), "_text")
 
@@ -486,14 +486,14 @@ def similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
     made = _hashed(texts, sets, "hub long, part int, leaf int, mark long, hashes array<long>")
     made = made.repartition("hub", "part").sortWithinPartitions("hub", "part", "leaf", "mark")
-    out = cut(made.mapInArrow(_compared, "u long, v long").distinct())
+    out = cut(made.mapInArrow(_compared, "u long, v long").distinct(), forget=True)
     free(spark)
     return out
 
 
 def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of the pairs (u, v) those whose sketches agree in ALIKE bytes or more. nodes: mark and sketch."""
-    pairs = cut(pairs.distinct())
+    pairs = cut(pairs.distinct(), forget=True)
     for side in "uv":
         pairs = join_split(pairs, nodes.select(F.col("mark").alias(side), F.col("sketch").alias(f"s{side}")), side, "inner")
 
@@ -520,7 +520,8 @@ def completed(found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     """The links found with those of all texts that share a band of minima and aren't in one component. nodes: mark, bands and sketch; texts: mark and _text.
 
     First each text meets one other, the least of all that are first in one of its bands, so that large groups are together with a pair for each
-    text. What is left is taken a few pairs of a text at a time, twice as many in each round, until none of unlike components is left.
+    text. What is left is taken a few pairs of a text at a time, four times as many in each round, until none of unlike components is left. What the
+    rounds hand on forgets how it was made, so that plans don't grow.
     """
     spark = nodes.sparkSession
     keys = nodes.select(F.explode("bands").alias("h"), F.col("mark").alias("node")).repartition("h").sortWithinPartitions("h", "node")
@@ -537,17 +538,17 @@ def completed(found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
         return rooted.mapInArrow(lambda batches: _whole(batches, "h", lambda t: _met(t, more)), "u long, v long")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        out = cut(found.union(similar(promising(pairs, nodes), texts)))
+        out = cut(found.union(similar(promising(pairs, nodes), texts)), forget=True)
         free(spark)
         return out
 
     found = checked(met(False).groupBy("u").agg(F.min("v").alias("v")))
-    left, most = cut(met(True).distinct()), 2
+    left, most = cut(met(True).distinct(), forget=True), 4
     while not left.isEmpty():
         # of a text at most FEW pairs for each band
         ranked = left.withColumn("_k", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v"), "v")))
         found = checked(ranked.where(F.col("_k") <= most).select("u", "v"))
-        left, most = cut(_unlike(ranked.where(F.col("_k") > most).select("u", "v"), components(found))), 2 * most
+        left, most = cut(_unlike(ranked.where(F.col("_k") > most).select("u", "v"), components(found)), forget=True), 4 * most
     return found
 
 
@@ -586,7 +587,7 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     marked = rows.select("doc", F.xxhash64("_text").alias("mark"), "_text")
     made = cut(marked.mapInArrow(run, f"doc {kind}, mark long, fp long, wide array<long>, sketch binary, bands array<long>"))
     # a node per distinct text, so that texts that share an id stay apart
-    least = cut(made.groupBy("mark").agg(F.min("doc").alias("low"), *[F.first(c, ignorenulls=True).alias(c) for c in features]))
+    least = cut(made.groupBy("mark").agg(F.min("doc").alias("low"), *[F.first(c, ignorenulls=True).alias(c) for c in features]), forget=True)
     free(spark)
     texts = marked.select("mark", "_text")
     found = similar(promising(links(least.select(F.col("mark").alias("node"), "fp", "wide"), STAGE_BUDGET, wide_budget=STAGE_WIDE), least), texts)
