@@ -516,6 +516,17 @@ def _unlike(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
 
+def _spread(keys: DataFrame) -> DataFrame:
+    """keys (h, node) with a key of their own for each some GROUP / 2 nodes of one that more than GROUP have; its least node goes to each of them."""
+    many = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where(F.col("n") > GROUP)
+    hot = cut(many.select("h", "least", F.ceil(F.col("n") / max(1, GROUP // 2)).cast("int").alias("parts")), forget=True)
+    if hot.isEmpty():
+        return keys
+    own = F.when(F.col("parts").isNotNull(), F.xxhash64("h", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))).otherwise(F.col("h"))
+    least = hot.select("h", "least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return keys.join(hot, "h", "left").select(own.alias("h"), "node").union(least.select(F.xxhash64("h", "part"), "least"))
+
+
 def completed(found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The links found with those of all texts that share a band of minima and aren't in one component. nodes: mark, bands and sketch; texts: mark and _text.
 
@@ -524,7 +535,7 @@ def completed(found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     rounds hand on forgets how it was made, so that plans don't grow.
     """
     spark = nodes.sparkSession
-    keys = nodes.select(F.explode("bands").alias("h"), F.col("mark").alias("node")).repartition("h").sortWithinPartitions("h", "node")
+    keys = _spread(nodes.select(F.explode("bands").alias("h"), F.col("mark").alias("node"))).repartition("h").sortWithinPartitions("h", "node")
     shared = cut(keys.mapInArrow(lambda batches: _whole(batches, "h", _repeated), "h long, node long"))
     free(spark)
 

@@ -143,6 +143,25 @@ def test_stage_keeps_unrelated_texts_that_share_an_id(spark, monkeypatch):
     assert x.distinct(df.limit(0)).count() == 0
 
 
+def test_groups_of_bands_are_split(spark, monkeypatch):
+    """Near copies beyond the size of a group still find each other."""
+    import random
+
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(2):
+            w[r.randrange(300)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w + [f"t{r.randrange(10**6)}" for _ in range(5)]))
+    df = spark.createDataFrame([*enumerate(texts), (99, "something else " * 3)], "doc_id long, text string")
+    want = sorted(tuple(v) for v in x.distinct(df).collect())
+    monkeypatch.setattr(x, "GROUP", 6)
+    monkeypatch.setattr(x, "links", lambda nodes, *_, **__: nodes.limit(0).select("node", "node").toDF("u", "v"))
+    assert sorted(tuple(v) for v in x.distinct(df).collect()) == want and [v[0] for v in want] == [0, 99]
+
+
 def test_comparison_of_many_partners_and_copies(spark, monkeypatch):
     """A hub's partners in several parts, and copies of texts in several tasks."""
     monkeypatch.setattr(x, "LEAVES", 3)
