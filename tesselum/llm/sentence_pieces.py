@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from tesselum.llm.common import ship, table
 
 MODEL = "piece_bpe_32k.model"
 META = "▁".encode()
-#: Rows in an Arrow batch, at most; a batch of ordinary texts stays below some 10 MB.
-BATCH = 1000
+#: Bytes of text that are encoded at once, unless one text has more.
+BATCH = 1 << 20
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -204,10 +205,15 @@ def _batches(df: DataFrame, make, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, BATCH):
-                b = whole.slice(start, BATCH)
+            texts = whole.column(whole.num_columns - 1)
+            ends = np.cumsum([0, *(n or 0 for n in pc.binary_length(texts).to_pylist())])
+            start = 0
+            while start < whole.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + BATCH, side="right")) - 1)
+                b = whole.slice(start, stop - start)
                 made = make([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made.values()], [*b.schema.names[:-1], *made])
+                start = stop
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
