@@ -45,6 +45,8 @@ FEW = 8
 BROADCAST = 1_000_000
 #: Partners of one text that are compared in one task, about.
 LEAVES = 64
+#: Hashes of a text that travel in one row, at most, so that a batch of rows is bounded.
+PIECE = 1024
 _PAIRS = 1 << 20  # compared at once
 _BYTES = 8 << 20  # of record batches that are sent at once, about
 _SMALL = 64  # pairs of keys in a pair of nodes that are compared at once
@@ -441,22 +443,40 @@ def _hashed(rows: DataFrame, make, schema: str) -> DataFrame:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by hub, part, leaf (its own set first) to the (u, v) of leaves similar to their hub by 4/5."""
-    hub, own, last = None, None, None
+    """Rows sorted by hub, part, leaf (its own set first), mark and place, a piece of a set each, to the (u, v) of leaves similar to their hub by 4/5."""
+    hub: tuple = ()
+    own: list[np.ndarray] = []
+    whole = np.zeros(0, np.uint64)
+    now, last, shared, size, found = None, None, 0, 0, []
+
+    def close() -> None:
+        if now is not None and 9 * shared >= 4 * (len(whole) + size):
+            found.append((now[3], now[0]))
+
     for b in batches:
-        found = []
-        keys = zip(*(b.column(k).to_pylist() for k in ("hub", "part", "leaf", "mark")), strict=True)
         sets = b.column("hashes")
         values, ends = sets.flatten().to_numpy().view(np.uint64), np.cumsum([0, *sets.value_lengths().to_pylist()])
-        for k, (h, part, leaf, mark) in enumerate(keys):
-            if (h, part, leaf, mark) == last:
+        for k, row in enumerate(zip(*(b.column(c).to_pylist() for c in ("hub", "part", "leaf", "mark", "at", "n")), strict=True)):
+            if row == last:
                 continue  # the same text from another task
-            last, mine = (h, part, leaf, mark), values[ends[k] : ends[k + 1]]
-            if not leaf:
-                hub, own = h, mine.copy()
-            elif hub == h and 9 * len(np.intersect1d(own, mine, assume_unique=True)) >= 4 * (len(own) + len(mine)):
-                found.append((mark, h))
+            last, mine = row, values[ends[k] : ends[k + 1]]
+            if row[:4] != now and now is not None:
+                close()
+                now = None
+            if not row[2]:
+                if row[:2] != hub:
+                    hub, own = row[:2], []
+                own.append(mine.copy())
+            elif row[:2] == hub:
+                if now is None:
+                    if own:
+                        whole, own = np.concatenate(own), []
+                    now, shared, size = row[:4], 0, row[5]
+                shared += int((whole[np.minimum(np.searchsorted(whole, mine), len(whole) - 1)] == mine).sum())
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+        found.clear()
+    close()
+    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
 def _parts(df: DataFrame, key: str, other: str, size: int, name: str) -> DataFrame:
@@ -480,12 +500,14 @@ def similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     texts = (rows.join(F.broadcast(wanted), "mark") if few <= BROADCAST else join_split(rows, wanted, "mark", "inner")).select("mark", "some", F.to_json("roles").alias("roles"), "_text")
 
     def sets(row: tuple, hashes: np.ndarray):
-        one = pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))
+        at = np.arange(0, len(hashes), PIECE)
+        pieces = pa.array([hashes[a : a + PIECE].view(np.int64) for a in at], pa.list_(pa.int64()))
+        same = lambda v, t: pa.array(np.full(len(at), v), t)
         for r in json.loads(row[2]):
-            yield [pa.array([r["hub"]], pa.int64()), pa.array([r["part"]], pa.int32()), pa.array([r["leaf"]], pa.int32()), pa.array([row[0]], pa.int64()), one]
+            yield [same(r["hub"], pa.int64()), same(r["part"], pa.int32()), same(r["leaf"], pa.int32()), same(row[0], pa.int64()), pa.array(at, pa.int64()), same(len(hashes), pa.int64()), pieces]
 
-    made = _hashed(texts, sets, "hub long, part int, leaf int, mark long, hashes array<long>")
-    made = made.repartition("hub", "part").sortWithinPartitions("hub", "part", "leaf", "mark")
+    made = _hashed(texts, sets, "hub long, part int, leaf int, mark long, at long, n long, hashes array<long>")
+    made = made.repartition("hub", "part").sortWithinPartitions("hub", "part", "leaf", "mark", "at")
     out = cut(made.mapInArrow(_compared, "u long, v long").distinct(), forget=True)
     free(spark)
     return out

@@ -165,6 +165,7 @@ def test_groups_of_bands_are_split(spark, monkeypatch):
 def test_comparison_of_many_partners_and_copies(spark, monkeypatch):
     """A hub's partners in several parts, and copies of texts in several tasks."""
     monkeypatch.setattr(x, "LEAVES", 3)
+    monkeypatch.setattr(x, "PIECE", 70)
     base = [f"w{i}" for i in range(300)]
     texts = [" ".join(base[:k]) for k in range(200, 301, 4)]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id long, text string").repartition(5).selectExpr("xxhash64(text) AS mark", "text AS _text")
