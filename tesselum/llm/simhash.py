@@ -43,8 +43,8 @@ ALIKE = 120
 FEW = 8
 #: Texts that are broadcast by their hash, at most.
 BROADCAST = 1_000_000
-#: Partners of one text that are compared in one task, about.
-LEAVES = 64
+#: Pairs, of all, for each part into which a text's partners are dealt.
+LEAVES = 500
 #: Hashes of a text that travel in one row, at most, so that a batch of rows is bounded.
 PIECE = 1024
 _PAIRS = 1 << 20  # compared at once
@@ -479,25 +479,28 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
-def _parts(df: DataFrame, key: str, other: str, size: int, name: str) -> DataFrame:
-    """df with a number for each some `size` rows of a key, by the hash of the other column."""
-    counts = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-    return join_split(df, counts, key, "inner").withColumn(name, F.pmod(F.xxhash64(other), F.col(name)).cast("int"))
+def _dealt(pairs: DataFrame, n: int) -> DataFrame:
+    """(mark, some, roles): to which tasks (hub, part) the texts of n distinct pairs (u, v) go, as leaf (u) or as hub (v), by text, as JSON.
+
+    A hub is in as many parts as it has partners at most, and in one for each LEAVES pairs of all; so parts are bounded whatever a hub's partners,
+    and no more is sent than twice the leaves. A hub's roles are told apart (some) by thousands, a leaf has no more than its round's pairs.
+    """
+    parts = 1 + n // LEAVES
+    part = F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int").alias("part")
+    role = lambda leaf: F.struct(F.col("v").alias("hub"), "part", F.lit(leaf).alias("leaf")).alias("role")
+    dealt = pairs.select("u", "v", part)
+    roles = dealt.select(F.col("u").alias("mark"), F.lit(0).alias("some"), role(1)).union(dealt.select(F.col("v").alias("mark"), F.floor(F.col("part") / 4096).cast("int"), role(0)).distinct())
+    return cut(roles.groupBy("mark", "some").agg(F.to_json(F.collect_list("role")).alias("roles")), forget=True)
 
 
 def similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of the pairs (u, v) of marks those whose texts' shingles have a similarity of 4/5 or more. rows: mark and _text.
+    """Of the distinct pairs (u, v) of marks, materialised, those whose texts' shingles have a similarity of 4/5 or more. rows: mark and _text.
 
-    The set of v goes to a task once for each some LEAVES of its partners, theirs once for each pair; nothing else moves. Of copies a task sends one.
+    Only the sets of the texts of pairs move, each hub's to few tasks. Of copies a task sends one.
     """
-    spark = rows.sparkSession
-    pairs = cut(pairs.distinct(), forget=True)
-    dealt = cut(_parts(pairs, "v", "u", LEAVES, "part"), forget=True)
-    role = lambda leaf: F.struct(F.col("v").alias("hub"), F.col("part"), F.lit(leaf).alias("leaf")).alias("role")
-    roles = dealt.select(F.col("u").alias("mark"), role(1)).union(dealt.select(F.col("v").alias("mark"), role(0)).distinct())
-    wanted = cut(_parts(roles, "mark", "role", LEAVES, "some").groupBy("mark", "some").agg(F.collect_list("role").alias("roles")), forget=True)
-    few = wanted.agg(F.sum(F.size("roles") + 1)).first()[0] or 0
-    texts = (rows.join(F.broadcast(wanted), "mark") if few <= BROADCAST else join_split(rows, wanted, "mark", "inner")).select("mark", "some", F.to_json("roles").alias("roles"), "_text")
+    n = pairs.count()
+    wanted = _dealt(pairs, n)
+    texts = (rows.join(F.broadcast(wanted), "mark") if 2 * n <= BROADCAST else join_split(rows, wanted, "mark", "inner")).select("mark", "some", "roles", "_text")
 
     def sets(row: tuple, hashes: np.ndarray):
         at = np.arange(0, len(hashes), PIECE)
@@ -508,25 +511,32 @@ def similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
     made = _hashed(texts, sets, "hub long, part int, leaf int, mark long, at long, n long, hashes array<long>")
     made = made.repartition("hub", "part").sortWithinPartitions("hub", "part", "leaf", "mark", "at")
-    out = cut(made.mapInArrow(_compared, "u long, v long").distinct(), forget=True)
-    free(spark)
-    return out
+    return cut(made.mapInArrow(_compared, "u long, v long").distinct(), forget=True)
 
 
-def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of the pairs (u, v) those whose sketches agree in ALIKE bytes or more. nodes: mark and sketch."""
-    pairs = cut(pairs.distinct(), forget=True)
-    for side in "uv":
-        pairs = join_split(pairs, nodes.select(F.col("mark").alias(side), F.col("sketch").alias(f"s{side}")), side, "inner")
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by hub, part and leaf (its own sketch first) to the (u, v) of leaves whose sketches agree with the hub's in ALIKE bytes or more."""
+    hub, own = None, None
+    for b in batches:
+        found = []
+        for h, part, leaf, mark, sketch_ in zip(*(b.column(c).to_pylist() for c in ("hub", "part", "leaf", "mark", "sketch")), strict=True):
+            mine = np.frombuffer(sketch_, np.uint8)
+            if not leaf:
+                hub, own = (h, part), mine
+            elif hub == (h, part) and int((own == mine).sum()) >= ALIKE:
+                found.append((mark, h))
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(f"s{side}").to_pylist()), np.uint8).reshape(b.num_rows, -1) for side in "uv")
-                ok = pa.array((x == y).sum(axis=1) >= ALIKE)
-                yield pa.RecordBatch.from_arrays([b.column(side).filter(ok) for side in "uv"], ["u", "v"])
 
-    return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of the pairs (u, v) those whose sketches agree in ALIKE bytes or more, materialised. nodes: mark and sketch."""
+    pairs = cut(pairs.distinct(), forget=True)
+    roles = nodes.select("mark", "sketch").join(_dealt(pairs, pairs.count()), "mark")
+    each = roles.select("mark", "sketch", F.explode(F.from_json("roles", "array<struct<hub: bigint, part: int, leaf: int>>")).alias("r")).select("r.hub", "r.part", "r.leaf", "mark", "sketch")
+    each = each.repartition("hub", "part").sortWithinPartitions("hub", "part", "leaf", "mark")
+    out = cut(each.mapInArrow(_agreeing, "u long, v long"), forget=True)
+    free(nodes.sparkSession)
+    return out
 
 
 def _unlike(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -624,6 +634,7 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     free(spark)
     texts = marked.select("mark", "_text")
     found = similar(promising(links(least.select(F.col("mark").alias("node"), "fp", "wide"), STAGE_BUDGET, wide_budget=STAGE_WIDE), least), texts)
+    free(spark)
     found = completed(found, least, texts)
     roots = components(found).withColumnRenamed("node", "mark")
     of = cut(least.select("mark", "low").join(roots, "mark", "left").select("mark", "low", F.coalesce("root", "mark").alias("root")))
