@@ -259,8 +259,8 @@ def decode(df: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
 
 
 def digest(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """df with n_tokens, ids_sha256, decoded_sha256, n_covered (bytes of the text under pieces) and spans_sha256 (of "start:end" per id, joined by
-    one space): encode and decode without moving ids out of Python."""
+    """df with n_tokens, ids_sha256, decoded_sha256, n_covered (bytes of the text under pieces) and spans_sha256 (of the spans' starts and
+    ends, in order, as little-endian 64-bit numbers): encode and decode without moving ids out of Python."""
     rows, schema = _kept(df, text, ("n_tokens", "ids_sha256", "decoded_sha256", "n_covered", "spans_sha256"))
 
     def make(texts: list[str]) -> dict:
@@ -272,7 +272,7 @@ def digest(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
             ids_sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
             text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             covered.append(int((spans[:, 1] - spans[:, 0]).sum()))
-            spans_sha.append(hashlib.sha256(" ".join(f"{a}:{b}" for a, b in spans.tolist()).encode()).hexdigest())
+            spans_sha.append(hashlib.sha256(np.ascontiguousarray(spans, "<i8").tobytes()).hexdigest())
         return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string()), "n_covered": pa.array(covered, pa.int64()), "spans_sha256": pa.array(spans_sha, pa.string())}
 
     return _batches(rows, make, schema + "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_covered bigint, spans_sha256 string")
