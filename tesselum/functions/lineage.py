@@ -39,6 +39,12 @@ def cut(df: DataFrame, *, forget: bool = False) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(out._jdf.toJavaRDD(), out._jdf.schema()), spark)
 
 
+def kept(df: DataFrame, folder: str) -> DataFrame:
+    """df, written to a folder of the shared one and read again: by columns and compressed, a fraction of a checkpoint's size."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder, wherever Spark can reach it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

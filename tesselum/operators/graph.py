@@ -9,6 +9,7 @@ triangulation's edges runs in one task per sample, and hulls in one per cluster;
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 
 from tesselum import model
 from tesselum.functions import bits, geometry
-from tesselum.functions.lineage import cut, ship
+from tesselum.functions.lineage import cut, kept, remove, shared_dir, ship
 from tesselum.operators.components import components
-from tesselum.operators.spatial import annotate, knn_join, radius_join
+from tesselum.operators.spatial import annotated, knn_join, marked_shares, radius_join
 
 def _c() -> Column:
     return F.col("cflag")
@@ -82,12 +83,12 @@ def dbscan(df: DataFrame, eps: float = 100, min_points: int = 25, min_size: int
     points = cut(_squares(df.where(bits.has_any(_c(), model.MARK)).select(*_XY), eps))
     full = points.groupBy(*_SQUARE).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points).drop("_n")
     dense, rest = points.join(full, _SQUARE, "left_semi"), cut(points.join(full, _SQUARE, "left_anti"))
-    some = radius_join(rest.select(*_XY), points, eps).groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points).select("id")
+    some = radius_join(rest.select(*_XY), points, eps, few=True).groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points).select("id")
     some = cut(some)
     core = cut(dense.unionByName(rest.join(some, "id", "left_semi")))
     roots = core.join(_linked(core, eps).drop("node"), _SQUARE).select(*_XY, "root")
     roots = cut(roots)
-    border = radius_join(rest.join(some, "id", "left_anti").select(*_XY), roots, eps, ["root"]).groupBy("id").agg(F.min("n_root").alias("root"))
+    border = radius_join(rest.join(some, "id", "left_anti").select(*_XY), roots, eps, ["root"], few=True).groupBy("id").agg(F.min("n_root").alias("root"))
     found = cut(roots.select("id", "root").unionByName(border))
     large = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size).select("root")
     found = found.join(large, "root", "left_semi").select("id", F.col("root").alias(name))
@@ -168,15 +169,27 @@ def tls(df: DataFrame, b_cell: int, immune: int, min_size: int = 100, distance:
     200 are a fifth such B cells; of those the immune ones (any bit) are clustered, and immune cells within a cluster's hull join it,
     the smallest cluster where hulls overlap. Structures below min_size go.
     """
-    p = F.col("pflag")
-    first = df.withColumn("cflag", bits.put_bits(_c(), model.MARK, bits.has_all(p, b_cell)))
-    first = annotate(first, model.BUILD_GRAPH, 25, 0.5, distance)
+    p, spark = F.col("pflag"), df.sparkSession
+    where = f"{shared_dir(spark)}/tls-{uuid.uuid4().hex}"
+    # each step's cells are kept without the other columns and go when the next one's are written
+    cells = df.select(*_XY, "cflag", "pflag")
+
+    def built(cells: DataFrame, mark: Column, k: int, fraction: float, reach: float, name: str) -> DataFrame:
+        cells = cells.withColumn("cflag", bits.put_bits(_c(), model.MARK, mark))
+        share, used = marked_shares(cells, bits.has_any(_c(), model.MARK), k, reach)
+        out = kept(annotated(cells, share, model.BUILD_GRAPH, fraction), f"{where}/{name}")
+        remove(spark, used)
+        return out
+
     dense = bits.has_all(_c(), model.BUILD_GRAPH) & bits.has_all(p, b_cell)
-    second = cut(first.withColumn("cflag", bits.put_bits(bits.clear_bits(_c(), model.BUILD_GRAPH), model.MARK, dense)))
-    second = annotate(second, model.BUILD_GRAPH, 100, 0.2, 200)
+    first = built(cells, bits.has_all(p, b_cell), 25, 0.5, distance, "first")
+    second = first.withColumns({"cflag": bits.clear_bits(_c(), model.BUILD_GRAPH), "_dense": dense})
+    second = built(second, F.col("_dense"), 100, 0.2, 200, "second").drop("_dense")
+    remove(spark, f"{where}/first")
     chosen = bits.has_all(_c(), model.BUILD_GRAPH) & bits.has_any(p, immune)
-    third = cut(second.withColumn("cflag", bits.put_bits(bits.clear_bits(_c(), model.BUILD_GRAPH), model.MARK, chosen)))
-    clustered = cut(dbscan(third, 100, 25, 200))
+    third = second.withColumn("cflag", bits.put_bits(bits.clear_bits(_c(), model.BUILD_GRAPH), model.MARK, chosen))
+    clustered = kept(dbscan(third, 100, 25, 200), f"{where}/third")
+    remove(spark, f"{where}/second")
     hull = hulls(clustered, "dbscan_cluster").select(F.col("sample_id").alias("_s"), F.col("cluster").alias("_hull"), "verts", *[f(F.expr(f"transform(verts, v -> v.{c})")).alias(f"_{c}_{k}") for c in "xy" for k, f in (("low", F.array_min), ("high", F.array_max))])
     box = F.col("x").between(F.col("_x_low"), F.col("_x_high")) & F.col("y").between(F.col("_y_low"), F.col("_y_high"))
     within = clustered.where(bits.has_any(p, immune)).join(hull, (F.col("sample_id") == F.col("_s")) & box)
@@ -185,7 +198,10 @@ def tls(df: DataFrame, b_cell: int, immune: int, min_size: int = 100, distance:
     large = out.where("tls_id > 0").groupBy("tls_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_size)
     out = out.join(large, "tls_id", "left").withColumn("tls_id", F.when(F.col("_n").isNotNull(), F.col("tls_id")).otherwise(F.lit(0).cast("long")))
     flags = bits.clear_bits(_c(), model.MARK)
-    return out.withColumn("cflag", F.when(F.col("tls_id") > 0, bits.set_bits(flags, model.TLS)).otherwise(flags)).select(*df.columns, "dbscan_cluster", "tls_id")
+    out = out.withColumn("cflag", F.when(F.col("tls_id") > 0, bits.set_bits(flags, model.TLS)).otherwise(flags))
+    others = [c for c in df.columns if c not in (*_XY, "cflag", "pflag")]
+    out = out.join(df.select("id", *others), "id") if others else out
+    return out.select(*df.columns, "dbscan_cluster", "tls_id")
 
 
 def neighbour_lists(df: DataFrame, k: int, name: str = "knn") -> DataFrame:

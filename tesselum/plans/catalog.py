@@ -786,7 +786,8 @@ def _(spark, sf_dir):
 
 @_query("tls_calls")
 def _(spark, sf_dir):
-    return graph.tls(clumps(spark, sf_dir), 1, 7, 30, 100).select("id", "cflag", "dbscan_cluster", "tls_id")
+    c = clumps(spark, sf_dir).select("sample_id", *model.FIXED)
+    return graph.tls(c, 1, 7, 30, 100).select("id", "cflag", "dbscan_cluster", "tls_id")
 
 
 @_query("lda_topics")

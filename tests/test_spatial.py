@@ -221,3 +221,47 @@ def test_knn_in_clumps_and_at_one_place(spark, monkeypatch):
         assert {(x["id"], x["n_id"], x["rank"]) for x in m.knn_join(df, df, 4).collect()} == want
         near = m.knn_join(df, df, 4, within=0.5).collect()
         assert {(x["id"], x["n_id"]) for x in near} == {(i, j) for i, j, _ in want if (d := xy[i - 1] - xy[j - 1]) @ d <= 0.25}
+
+
+def _shares(cells, k, within):
+    """id to the share of marked cells among the k nearest, by all pairs."""
+    out = {}
+    for i, s, x, y, _ in cells:
+        near = sorted(((x - a) ** 2 + (y - b) ** 2, j, m) for j, t, a, b, m in cells if t == s and j != i and (x - a) ** 2 + (y - b) ** 2 <= within * within)[:k]
+        if near:
+            out[i] = sum(m for *_, m in near) / len(near)
+    return out
+
+
+@pytest.mark.parametrize(("crowd", "tile"), [(32, 16), (1, 2)])
+def test_shares_of_neighbours_keep_a_row_for_each_cell(spark, monkeypatch, crowd, tile):
+    """Ties, cells at one place, dense clumps and lone cells; nothing that is written has more rows than there are cells."""
+    monkeypatch.setattr(spatial, "CROWD", crowd)
+    monkeypatch.setattr(spatial, "TILE", tile)
+    rows = []
+    for how in ("cut", "kept"):
+        old = getattr(spatial, how, None)
+        monkeypatch.setattr(spatial, how, lambda df, *a, old=old, **k: rows.append(df.count()) or old(df, *a, **k), raising=False)
+    r = np.random.default_rng(3)
+    xy = np.concatenate([r.integers(-9, 9, (150, 2)), np.full((40, 2), 5), r.integers(-400, 400, (60, 2)), [[9000, 9000]]])
+    cells = [(int(i), int(i % 2), float(x), float(y), int(r.integers(2))) for i, (x, y) in zip(r.permutation(len(xy)), xy, strict=True)]
+    df = spark.createDataFrame([(i, s, x, y, model.MARK * m, 0) for i, s, x, y, m in cells], "id long, sample_id long, x double, y double, cflag long, pflag long")
+    for k, within, fraction in ((5, 1e5, 0.6), (25, 100, 0.5), (4, 3, 0.5)):
+        want = _shares(cells, k, within)
+        got = {x["id"]: x["cflag"] for x in spatial.annotate(df, model.TCELL, k, fraction, within).collect()}
+        assert got == {i: model.TCELL * (want.get(i, -1) >= fraction) for i, *_ in cells}
+    assert rows and max(rows) <= len(cells)
+    assert spatial.annotate(df.limit(0), model.TCELL, 5).count() == 0
+
+
+def test_tls_keeps_other_columns(spark):
+    r = np.random.default_rng(5)
+    xy = np.concatenate([r.normal(0, 40, (600, 2)), r.uniform(2000, 4000, (200, 2))])
+    df = _df(spark, xy, p=[1] * 600 + [4] * 200, sample=[1] * 800)  # an id of 0 would be no cluster
+    more = df.selectExpr("'a' AS `a b`", "*", "2 * id AS twice")
+    got = graph.tls(more, 1, 3, 100, 10_000)
+    assert got.columns == [*more.columns, "dbscan_cluster", "tls_id"]
+    got = {x["id"]: x for x in got.collect()}
+    assert len(got) == 800 and all(x["twice"] == 2 * i and x["a b"] == "a" for i, x in got.items())
+    plain = {x["id"]: x["tls_id"] for x in graph.tls(df, 1, 3, 100, 10_000).collect()}
+    assert plain == {i: x["tls_id"] for i, x in got.items()} and sum(v > 0 for v in plain.values()) >= 500
