@@ -39,7 +39,7 @@ GROUP = 20_000
 BANDS, ROWS = 32, 6
 #: Of the minima two texts must share, of eight bits each, to be compared: six standard deviations below what 0.8 gives.
 ALIKE = 120
-#: Texts of a band that are all paired, at most; of more each is paired with its neighbours and the first.
+#: Texts of a band that are all paired at once, at most; of more each is paired with its neighbours and the first, and what is left in unlike components after that with all.
 FEW = 8
 #: Texts that are broadcast by their hash, at most.
 BROADCAST = 1_000_000
@@ -549,26 +549,71 @@ def _unlike(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _spread(keys: DataFrame) -> DataFrame:
-    """keys (h, node) with a key of their own for each some GROUP / 2 nodes of one that more than GROUP have; its least node goes to each of them."""
+    """keys (h, node) with a key of their own for each some GROUP / 2 nodes of one that more than GROUP have; its least node goes to each of them. band: the h before."""
     many = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where(F.col("n") > GROUP)
     hot = cut(many.select("h", "least", F.ceil(F.col("n") / max(1, GROUP // 2)).cast("int").alias("parts")), forget=True)
     if hot.isEmpty():
-        return keys
+        return keys.withColumn("band", F.col("h"))
     own = F.when(F.col("parts").isNotNull(), F.xxhash64("h", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))).otherwise(F.col("h"))
     least = hot.select("h", "least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return keys.join(hot, "h", "left").select(own.alias("h"), "node").union(least.select(F.xxhash64("h", "part"), "least"))
+    return keys.join(hot, "h", "left").select(own.alias("h"), "node", F.col("h").alias("band")).union(least.select(F.xxhash64("h", "part"), "least", "h"))
+
+
+def _apart(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(u, v) of all rows (deal, side, node, root, sketch) of one deal and unlike roots whose sketches agree in ALIKE bytes or more; where a deal has two sides, of unlike sides."""
+    deal, side, node, root = (rows.column(k).to_numpy() for k in ("deal", "side", "node", "root"))
+    own = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(deal), -1)
+    by = np.lexsort((side, root, deal))
+    edges = np.flatnonzero(np.append(True, np.diff(deal[by]) != 0))
+    for at in np.split(by, edges[1:]):
+        r, s, sketches, both = root[at], side[at], own[at], bool(side[at].any() and not side[at].all())
+        after, found, size = np.searchsorted(r, r, "right"), [], 0
+        for i, end in enumerate(after.tolist()):
+            near = end + np.flatnonzero((sketches[end:] == sketches[i]).sum(axis=1) >= ALIKE)
+            near = near[s[near] != s[i]] if both else near
+            if len(near):
+                found.append(np.sort(np.stack([np.full(len(near), node[at[i]]), node[at[near]]]), axis=0))
+                size += len(near)
+            if found and (size > _PAIRS or i + 1 == len(at)):
+                u, v = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], ["u", "v"])
+                found, size = [], 0
+        if found:
+            u, v = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], ["u", "v"])
+
+
+def _rest(shared: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v), materialised: of all bands that more than FEW texts have all pairs of unlike components whose sketches agree in ALIKE bytes or more.
+
+    Only bands with unlike components take part. A band of more than GROUP texts is dealt as pairs of its groups, so that every two texts meet.
+    A text's sketch is joined once, with the list of the deals that it goes to.
+    """
+    rooted = shared.select("band", "node").join(known, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("n") > FEW) & (F.col("low") < F.col("high")))
+    half = max(1, GROUP // 2)
+    mixed = cut(mixed.select("band", F.when(F.col("n") > GROUP, F.ceil(F.col("n") / half)).otherwise(1).cast("int").alias("groups")), forget=True)
+    if mixed.isEmpty():
+        return known.limit(0).toDF("u", "v")
+    own = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
+    dealt = rooted.join(mixed, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    deal = F.struct(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("deal"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
+    roles = dealt.groupBy("node", "root").agg(F.collect_set(deal).alias("deals"))
+    each = nodes.select(F.col("mark").alias("node"), "sketch").join(roles, "node").select(F.explode("deals").alias("d"), "node", "root", "sketch").select("d.deal", "d.side", "node", "root", "sketch")
+    each = each.repartition("deal").sortWithinPartitions("deal")
+    return cut(each.mapInArrow(lambda batches: _whole(batches, "deal", _apart), "u long, v long").distinct(), forget=True)
 
 
 def completed(found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The links found with those of all texts that share a band of minima and aren't in one component. nodes: mark, bands and sketch; texts: mark and _text.
 
     First each text meets one other, the least of all that are first in one of its bands, so that large groups are together with a pair for each
-    text. What is left is taken a few pairs of a text at a time, four times as many in each round, until none of unlike components is left. What the
-    rounds hand on forgets how it was made, so that plans don't grow.
+    text. Then it meets its neighbours, and last, where a band still holds unlike components, all texts of these. What is left is taken a few pairs of a text at a time, four times as many
+    in each round, until none of unlike components is left. What the rounds hand on forgets how it was made, so that plans don't grow.
     """
     spark = nodes.sparkSession
     keys = _spread(nodes.select(F.explode("bands").alias("h"), F.col("mark").alias("node"))).repartition("h").sortWithinPartitions("h", "node")
-    shared = cut(keys.mapInArrow(lambda batches: _whole(batches, "h", _repeated), "h long, node long"))
+    shared = cut(keys.mapInArrow(lambda batches: _whole(batches, "h", _repeated), "h long, node long, band long"))
     free(spark)
 
     def met(more: bool) -> DataFrame:
@@ -581,17 +626,19 @@ def completed(found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
         return rooted.mapInArrow(lambda batches: _whole(batches, "h", lambda t: _met(t, more)), "u long, v long")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        out = cut(found.union(similar(promising(pairs, nodes), texts)), forget=True)
+        out = cut(found.union(similar(pairs, texts)), forget=True)
         free(spark)
         return out
 
-    found = checked(met(False).groupBy("u").agg(F.min("v").alias("v")))
-    left, most = cut(met(True).distinct(), forget=True), 4
-    while not left.isEmpty():
-        # of a text at most FEW pairs for each band
-        ranked = left.withColumn("_k", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v"), "v")))
-        found = checked(ranked.where(F.col("_k") <= most).select("u", "v"))
-        left, most = cut(_unlike(ranked.where(F.col("_k") > most).select("u", "v"), components(found)), forget=True), 4 * most
+    found = checked(promising(met(False).groupBy("u").agg(F.min("v").alias("v")), nodes))
+    for all_ in (False, True):
+        left, most = _rest(shared, components(found), nodes) if all_ else cut(met(True).distinct(), forget=True), 4
+        while not left.isEmpty():
+            # of a text at most FEW pairs for each band, but for the last ones
+            ranked = left.withColumn("_k", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v"), "v")))
+            now = ranked.where(F.col("_k") <= most).select("u", "v")
+            found = checked(cut(now, forget=True) if all_ else promising(now, nodes))
+            left, most = cut(_unlike(ranked.where(F.col("_k") > most).select("u", "v"), components(found)), forget=True), 4 * most
     return found
 
 

@@ -185,3 +185,22 @@ def test_labels_of_large_components(spark, monkeypatch):
     for hot in (1, 10_000_000):
         monkeypatch.setattr(common, "HOT", hot)
         assert sorted(map(tuple, x.group(df).collect())) == want
+
+
+def test_bands_of_many_unlike_texts_lose_no_link(spark, monkeypatch):
+    """Pairs of copies in one band with many other texts, whole or in groups."""
+    import random
+
+    r = random.Random(6)
+    texts = []
+    for k in range(25):
+        w = [f"a{r.randrange(9000)}" for _ in range(150)]
+        texts += [" ".join(w), " ".join(w[: 150 - k % 9] + [f"b{k}"])]
+    df = spark.createDataFrame([(t, x.sketch(x.minima(x.shingle_hashes(t))), [7]) for t in texts], "_text string, sketch binary, bands array<long>").selectExpr("xxhash64(_text) AS mark", "*").cache()
+    marks = {t["_text"]: t["mark"] for t in df.collect()}
+    want = {tuple(sorted((marks[a], marks[b]))) for a, b in zip(texts[::2], texts[1::2], strict=True)}
+    for group in (x.GROUP, 12):
+        monkeypatch.setattr(x, "GROUP", group)
+        got = x.completed(spark.createDataFrame([], "u long, v long"), df, df.select("mark", "_text"))
+        assert {tuple(sorted(p)) for p in got.collect()} == want
+    df.unpersist()
