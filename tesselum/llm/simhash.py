@@ -39,8 +39,10 @@ GROUP = 20_000
 BANDS, ROWS = 32, 6
 #: Of the minima two texts must share, of eight bits each, to be compared: six standard deviations below what 0.8 gives.
 ALIKE = 120
-#: Texts of a band that are all paired at once, at most; of more each is paired with its neighbours and the first, and what is left in unlike components after that with all.
+#: Texts of a band that are all paired at once, at most; of more each is paired with its neighbours and the first, and what is left in unlike components after that is compared with all in one task.
 FEW = 8
+#: Bytes of texts whose shingles one task compares all with all, about; half of it from each of two groups.
+TEXTS = 16 << 20
 #: Texts that are broadcast by their hash, at most.
 BROADCAST = 1_000_000
 #: Pairs, of all, for each part into which a text's partners are dealt.
@@ -49,6 +51,7 @@ LEAVES = 500
 PIECE = 1024
 _PAIRS = 1 << 20  # compared at once
 _BYTES = 8 << 20  # of record batches that are sent at once, about
+_HELD = 32 << 20  # of record batches that are held until whole keys are done, about, if these are no larger
 _SMALL = 64  # pairs of keys in a pair of nodes that are compared at once
 
 
@@ -371,11 +374,12 @@ def sketch(low: np.ndarray) -> bytes:
 
 def _whole(batches: Iterator[pa.RecordBatch], key: str, done) -> Iterator[pa.RecordBatch]:
     """done(rows) of rows sorted by key, with whole keys at once."""
-    wait, size = [], 0
+    wait, size, held = [], 0, 0
     for batch in batches:
         wait.append(batch)
         size += batch.num_rows
-        if size >= 200_000:
+        held += batch.nbytes
+        if size >= 200_000 or held >= _HELD:
             rows = pa.Table.from_batches(wait)
             k = rows.column(key).to_numpy()
             unlike = np.flatnonzero(k != k[-1])
@@ -383,6 +387,7 @@ def _whole(batches: Iterator[pa.RecordBatch], key: str, done) -> Iterator[pa.Rec
                 edge = int(unlike[-1]) + 1
                 yield from done(rows.slice(0, edge))
                 wait, size = rows.slice(edge).to_batches(), rows.num_rows - edge
+                held = sum(b.nbytes for b in wait)
     if size:
         yield from done(pa.Table.from_batches(wait))
 
@@ -559,57 +564,156 @@ def _spread(keys: DataFrame) -> DataFrame:
     return keys.join(hot, "h", "left").select(own.alias("h"), "node", F.col("h").alias("band")).union(least.select(F.xxhash64("h", "part"), "least", "h"))
 
 
+def _agree(sketches: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """Those of the ascending j whose sketches agree with that of i in ALIKE bytes or more. sketches: a column for each text."""
+    if not len(j):
+        return j
+    part = sketches[:, j] if 4 * len(j) < j[-1] - j[0] else sketches[:, j[0] : j[-1] + 1]
+    near = (part == sketches[:, i : i + 1]).view(np.uint8).sum(axis=0, dtype=np.uint8) >= ALIKE
+    return j[near if len(near) == len(j) else near[j - j[0]]]
+
+
+def _columns(sketches: list[bytes]) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1).T)
+
+
+def _one_each(forest: Forest, i: int, j: np.ndarray) -> np.ndarray:
+    """One of j for each tree; these are linked with i."""
+    j = j[np.unique(forest.root[j], return_index=True)[1]]
+    forest.link(np.full(len(j), i), j)
+    return j
+
+
+def _ends(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    u = np.concatenate([np.zeros(0, np.int64), *(np.full(len(j), i) for i, j in found)])
+    v = np.concatenate([np.zeros(0, np.int64), *(j for _, j in found)])
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+
 def _apart(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """(u, v) of all rows (deal, side, node, root, sketch) of one deal and unlike roots whose sketches agree in ALIKE bytes or more; where a deal has two sides, of unlike sides."""
+    """(u, v): a spanning forest of all rows (deal, side, node, root, sketch) of one deal, unlike roots and, where a deal has two, unlike sides whose sketches agree in ALIKE bytes or more."""
     deal, side, node, root = (rows.column(k).to_numpy() for k in ("deal", "side", "node", "root"))
-    own = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(deal), -1)
-    by = np.lexsort((side, root, deal))
-    edges = np.flatnonzero(np.append(True, np.diff(deal[by]) != 0))
-    for at in np.split(by, edges[1:]):
-        r, s, sketches, both = root[at], side[at], own[at], bool(side[at].any() and not side[at].all())
-        after, found, size = np.searchsorted(r, r, "right"), [], 0
-        for i, end in enumerate(after.tolist()):
-            near = end + np.flatnonzero((sketches[end:] == sketches[i]).sum(axis=1) >= ALIKE)
-            near = near[s[near] != s[i]] if both else near
-            if len(near):
-                found.append(np.sort(np.stack([np.full(len(near), node[at[i]]), node[at[near]]]), axis=0))
-                size += len(near)
-            if found and (size > _PAIRS or i + 1 == len(at)):
-                u, v = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], ["u", "v"])
-                found, size = [], 0
-        if found:
-            u, v = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], ["u", "v"])
-
-
-def _rest(shared: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v), materialised: of all bands that more than FEW texts have all pairs of unlike components whose sketches agree in ALIKE bytes or more.
-
-    Only bands with unlike components take part. A band of more than GROUP texts is dealt as pairs of its groups, so that every two texts meet.
-    A text's sketch is joined once, with the list of the deals that it goes to.
+    sketches, found = rows.column("sketch").to_pylist(), []
+    by = np.lexsort((root, deal))
+    for at in np.split(by, np.flatnonzero(np.diff(deal[by])) + 1):
+        r, s, own = root[at], side[at], _columns([sketches[k] for k in at])
+        both, forest = bool(s.any() and not s.all()), Forest(len(at))
+        for i, end in enumerate(np.searchsorted(r, r, "right").tolist()):
+            j = end + np.flatnonzero((forest.root[end:] != forest.root[i]) & ((s[end:] != s[i]) | (not both)))
+            j = _agree(own, i, j)
+            if len(j):
+                found.append((node[at[i]], node[at[_one_each(forest, i, j)]]))
+    yield _ends(found)
+
+
+def _linked(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(u, v): a spanning forest of all texts of one deal, unlike roots and, where a deal has two, unlike sides that are similar by 4/5 or more.
+
+    rows (deal, side, node, root, at, sketch, hashes) are pieces of sets, sorted by deal, node and at; copies come more than once.
     """
+    deal, node, at = (rows.column(k).to_numpy() for k in ("deal", "node", "at"))
+    new = np.append(True, (deal[1:] != deal[:-1]) | (node[1:] != node[:-1]) | (at[1:] != at[:-1]))
+    rows = rows.filter(pa.array(new)).combine_chunks()
+    deal, side, node, root, at = (rows.column(k).to_numpy() for k in ("deal", "side", "node", "root", "at"))
+    sets, edges, found = rows.column("hashes"), np.flatnonzero(np.append(True, deal[1:] != deal[:-1])).tolist(), []
+    for low, high in zip(edges, [*edges[1:], len(deal)], strict=True):
+        first = low + np.flatnonzero(at[low:high] == 0)
+        pieces = sets.slice(low, high - low).combine_chunks()
+        lengths = pieces.value_lengths().to_numpy()
+        size = np.add.reduceat(lengths, first - low).astype(np.int64)
+        start = np.cumsum(size) - size
+        known, ids = np.unique(pieces.flatten().to_numpy(), return_inverse=True)
+        mine, s, own = np.zeros(len(known), bool), side[first], _columns(rows.column("sketch").take(pa.array(first)).to_pylist())
+        both, forest = bool(s.any() and not s.all()), Forest(len(first))
+        _, least, of = np.unique(root[first], return_index=True, return_inverse=True)
+        forest.root = least[of]
+        for i in range(len(first) - 1):
+            rest = slice(i + 1, None)
+            sized = (5 * size[rest] >= 4 * size[i]) & (4 * size[rest] <= 5 * size[i])
+            j = i + 1 + np.flatnonzero((forest.root[rest] != forest.root[i]) & sized & ((s[rest] != s[i]) | (not both)))
+            j = _agree(own, i, j)
+            if not len(j):
+                continue
+            mine[ids[start[i] : start[i] + size[i]]] = True
+            total = np.cumsum(size[j])
+            shared = [np.zeros(0, np.int64)]
+            for part in np.split(j, np.searchsorted(total, np.arange(_PAIRS, total[-1], _PAIRS))):
+                if len(part):
+                    ahead = np.cumsum(size[part]) - size[part]
+                    k = np.arange(size[part].sum()) + np.repeat(start[part] - ahead, size[part])
+                    shared.append(np.add.reduceat(mine[ids[k]], ahead, dtype=np.int64))
+            mine[ids[start[i] : start[i] + size[i]]] = False
+            j = j[9 * np.concatenate(shared) >= 4 * (size[i] + size[j])]
+            if len(j):
+                found.append((node[first[i]], node[first[_one_each(forest, i, j)]]))
+    yield _ends(found)
+
+
+def _all_pairs(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows (key, node, further columns) with deal and side: once if their key has one group, else once for each group, so that every two of a key meet. groups: key and groups."""
+    own = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
+    dealt = rows.join(groups, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    deal = F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")).alias("deal")
+    return dealt.select(*rows.columns, deal, F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
+
+
+def _rest(shared: DataFrame, known: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v), materialised: links of all texts of unlike components that share a band of more than FEW texts.
+
+    No pair is a row. First sketches are compared, band by band, and a task tells which texts hang together by pairs that agree in ALIKE bytes or more: a
+    spanning forest. Then the shingles of the texts of each such cluster go to one task, which compares all of these pairs and again gives a forest. Only bands with unlike
+    components take part. Bands of more than GROUP texts, and clusters of more texts or more than TEXTS bytes, are dealt as pairs of groups, so that every two texts meet.
+    """
+    half = max(1, GROUP // 2)
     rooted = shared.select("band", "node").join(known, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("n") > FEW) & (F.col("low") < F.col("high")))
-    half = max(1, GROUP // 2)
     mixed = cut(mixed.select("band", F.when(F.col("n") > GROUP, F.ceil(F.col("n") / half)).otherwise(1).cast("int").alias("groups")), forget=True)
     if mixed.isEmpty():
         return known.limit(0).toDF("u", "v")
-    own = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
-    dealt = rooted.join(mixed, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    deal = F.struct(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("deal"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-    roles = dealt.groupBy("node", "root").agg(F.collect_set(deal).alias("deals"))
+    # a text's sketch is joined once, with the list of the deals that it goes to
+    roles = _all_pairs(rooted, mixed, "band").groupBy("node", "root").agg(F.collect_set(F.struct("deal", "side")).alias("deals"))
     each = nodes.select(F.col("mark").alias("node"), "sketch").join(roles, "node").select(F.explode("deals").alias("d"), "node", "root", "sketch").select("d.deal", "d.side", "node", "root", "sketch")
     each = each.repartition("deal").sortWithinPartitions("deal")
-    return cut(each.mapInArrow(lambda batches: _whole(batches, "deal", _apart), "u long, v long").distinct(), forget=True)
+    near = components(each.mapInArrow(lambda batches: _whole(batches, "deal", _apart), "u long, v long"))
+    free(nodes.sparkSession)
+    if near.isEmpty():
+        return known.limit(0).toDF("u", "v")
+    members = near.select("node", F.col("root").alias("cluster")).union(near.select("root", "root").distinct())
+    members = cut(members.join(known, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root")), forget=True)
+    few = 2 * members.count() <= BROADCAST
+
+    def its_text(of: DataFrame) -> DataFrame:
+        of = of.withColumnRenamed("node", "mark")
+        return texts.join(F.broadcast(of), "mark") if few else join_split(texts, of, "mark", "inner")
+
+    sizes = its_text(members.select("node", "cluster")).groupBy("mark", "cluster").agg(F.max(F.coalesce(F.octet_length("_text"), F.lit(0))).alias("size")).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    large = (F.col("n") > GROUP) | (F.col("size") > TEXTS)
+    sizes = cut(sizes.select("cluster", F.when(large, F.ceil(F.greatest(F.col("n") / half, 2 * F.col("size") / TEXTS))).otherwise(1).cast("int").alias("groups")), forget=True)
+    wanted = _all_pairs(members, sizes, "cluster").groupBy("node", "root").agg(F.to_json(F.collect_list(F.struct("deal", "side"))).alias("deals"))
+    wanted = cut(wanted, forget=True)
+
+    def sets(row: tuple, hashes: np.ndarray):
+        mark, root, deals = row
+        at = np.arange(0, len(hashes), PIECE)
+        pieces = pa.array([hashes[a : a + PIECE].view(np.int64) for a in at], pa.list_(pa.int64()))
+        same = lambda v, t: pa.array([v] * len(at), t)
+        own = sketch(minima(hashes))
+        for d in json.loads(deals):
+            yield [same(d["deal"], pa.int64()), same(d["side"], pa.int32()), same(mark, pa.int64()), same(root, pa.int64()), pa.array(at, pa.int64()), same(own, pa.binary()), pieces]
+
+    made = _hashed(its_text(wanted).select("mark", "root", "deals", "_text"), sets, "deal long, side int, node long, root long, at long, sketch binary, hashes array<long>")
+    made = made.repartition("deal").sortWithinPartitions("deal", "node", "at")
+    out = cut(made.mapInArrow(lambda batches: _whole(batches, "deal", _linked), "u long, v long"), forget=True)
+    free(nodes.sparkSession)
+    return out
 
 
 def completed(found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The links found with those of all texts that share a band of minima and aren't in one component. nodes: mark, bands and sketch; texts: mark and _text.
 
     First each text meets one other, the least of all that are first in one of its bands, so that large groups are together with a pair for each
-    text. Then it meets its neighbours, and last, where a band still holds unlike components, all texts of these. What is left is taken a few pairs of a text at a time, four times as many
-    in each round, until none of unlike components is left. What the rounds hand on forgets how it was made, so that plans don't grow.
+    text. Then it meets its neighbours, a few pairs of a text at a time, four times as many in each round, until none of unlike components is left. Last, where a band still holds unlike
+    components, all texts of these are compared, in tasks that give links only. What the rounds hand on forgets how it was made, so that plans don't grow.
     """
     spark = nodes.sparkSession
     keys = _spread(nodes.select(F.explode("bands").alias("h"), F.col("mark").alias("node"))).repartition("h").sortWithinPartitions("h", "node")
@@ -631,15 +735,13 @@ def completed(found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
         return out
 
     found = checked(promising(met(False).groupBy("u").agg(F.min("v").alias("v")), nodes))
-    for all_ in (False, True):
-        left, most = _rest(shared, components(found), nodes) if all_ else cut(met(True).distinct(), forget=True), 4
-        while not left.isEmpty():
-            # of a text at most FEW pairs for each band, but for the last ones
-            ranked = left.withColumn("_k", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v"), "v")))
-            now = ranked.where(F.col("_k") <= most).select("u", "v")
-            found = checked(cut(now, forget=True) if all_ else promising(now, nodes))
-            left, most = cut(_unlike(ranked.where(F.col("_k") > most).select("u", "v"), components(found)), forget=True), 4 * most
-    return found
+    left, most = cut(met(True).distinct(), forget=True), 4
+    while not left.isEmpty():
+        # of a text at most FEW pairs for each band
+        ranked = left.withColumn("_k", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v"), "v")))
+        found = checked(promising(ranked.where(F.col("_k") <= most).select("u", "v"), nodes))
+        left, most = cut(_unlike(ranked.where(F.col("_k") > most).select("u", "v"), components(found)), forget=True), 4 * most
+    return cut(found.union(_rest(shared, components(found), nodes, texts)), forget=True)
 
 
 def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

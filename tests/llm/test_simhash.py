@@ -204,3 +204,35 @@ def test_bands_of_many_unlike_texts_lose_no_link(spark, monkeypatch):
         got = x.completed(spark.createDataFrame([], "u long, v long"), df, df.select("mark", "_text"))
         assert {tuple(sorted(p)) for p in got.collect()} == want
     df.unpersist()
+
+
+def test_bands_of_alike_texts_make_no_row_for_each_pair(spark, monkeypatch):
+    """Texts of one band that are similar by 0.6 to 0.75, with some pairs of copies: all links are found, and what is handed on grows with the texts, not with their pairs."""
+    import random
+
+    r = random.Random(9)
+    base, texts = [f"w{i}" for i in range(300)], []
+    for k in range(150):
+        w = list(base)
+        for p in r.sample(range(0, 300, 5), 8):
+            w[p] = f"x{r.randrange(10**9)}"
+        texts.append(" ".join(w))
+        if k % 10 == 0:  # a copy with a few words more
+            texts.append(texts[-1] + f" y{k} z{k}")
+    low = {t: x.sketch(x.minima(x.shingle_hashes(t))) for t in texts}
+    df = spark.createDataFrame([(t, low[t], [7]) for t in texts], "_text string, sketch binary, bands array<long>").selectExpr("xxhash64(_text) AS mark", "*").cache()
+    marks = {t["_text"]: t["mark"] for t in df.collect()}
+    alike = sum(sum(map(int.__eq__, low[a], low[b])) >= x.ALIKE for i, a in enumerate(texts) for b in texts[:i])
+    want = {tuple(sorted((marks[a], marks[b]))) for i, a in enumerate(texts) for b in texts[:i] if _similarity(a, b) >= 0.8}
+    assert len(want) == 15 and alike > 20 * len(texts)
+    handed = []
+    for name in ("similar", "_unlike"):
+        real = getattr(x, name)
+        monkeypatch.setattr(x, name, lambda pairs, *other, real=real: (handed.append(pairs.count()), real(pairs, *other))[1])
+    for group, size in ((x.GROUP, 1 << 24), (12, 1 << 24), (x.GROUP, 60_000)):
+        monkeypatch.setattr(x, "GROUP", group)
+        monkeypatch.setattr(x, "TEXTS", size, raising=False)
+        handed.clear()
+        got = [tuple(sorted(p)) for p in x.completed(spark.createDataFrame([], "u long, v long"), df, df.select("mark", "_text")).collect()]
+        assert set(got) == want and sum(handed) <= 8 * len(texts)
+    df.unpersist()
